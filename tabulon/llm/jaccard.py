@@ -34,7 +34,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reachable
@@ -119,6 +119,16 @@ def _set_id(grams: np.ndarray) -> bytes:
     return hashlib.blake2b(grams.tobytes(), digest_size=16).digest()
 
 
+@functools.lru_cache(maxsize=8)
+def spread(percent: int) -> float:
+    """Classes for each element of a link's difference: as few as still leave more non-empty ones than those if half of the
+    n-grams are common."""
+    each, s = percent / (100 - percent), 1.05
+    while s < 3 and s * (1 - np.exp(-each / (2 * s))) < 1.06:
+        s += 0.05
+    return s
+
+
 @functools.lru_cache(maxsize=8)
 def levels(percent: int) -> tuple[np.ndarray, np.ndarray]:
     """(least size of each level, most elements in the difference of a link there). A link's sizes lie in one level or in
@@ -156,7 +166,7 @@ def projections(grams: np.ndarray, common: np.ndarray, percent: int) -> np.ndarr
     out = []
     for level in (own, own + 1):
         d = int(most[level])
-        place, keys = _contents(rare, level, d + 2 + 2 * d // 5, 0)
+        place, keys = _contents(rare, level, int(spread(percent) * d) + 2, 0)
         out.append(keys)
         if len(place) > d:
             continue
@@ -244,7 +254,8 @@ def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, tex
                 k = keys[a : a + 200_000]
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(nodes[a : a + 200_000]), pa.nulls(len(k), pa.int64())], names=["key", "a", "b"])
             if len(edges):
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(edges), pa.int64()), pa.array(np.ascontiguousarray(edges[:, 0])), pa.array(np.ascontiguousarray(edges[:, 1]))], names=["key", "a", "b"])
+                a, b = (np.ascontiguousarray(edges[:, i]) for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(_mix(a.view(np.uint64) * _A + b.view(np.uint64)).view(np.int64)), pa.array(a), pa.array(b)], names=["key", "a", "b"])
 
         seen: set[int] = set()
         for batch in chunks(batches, "text"):
@@ -265,13 +276,11 @@ def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, tex
         if held:
             yield from flush()
 
+    # One shuffle and one pass; a task has tied its own rows, so that a key has a row for each task at most.
     found = df.select(F.col(text_col).alias("text")).mapInArrow(run, "key bigint, a bigint, b bigint")
-    found = stored(found)
-    inside = found.filter("key is null").select("a", "b")
-    keyed = found.filter("key is not null")
-    least = keyed.groupBy("key").agg(F.min("a").alias("root"), F.max("a").alias("most")).filter("root <> most").drop("most")
-    across = keyed.join(least, "key").filter("a <> root").select(F.col("root").alias("a"), F.col("a").alias("b"))
-    return inside.union(across).distinct()
+    root = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("key"))
+    ends = F.when(F.col("b").isNull(), F.struct(F.col("root").alias("a"), F.col("a").alias("b"))).otherwise(F.struct("a", "b"))
+    return found.withColumn("root", root).select(ends.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
 
 
 def linked(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
