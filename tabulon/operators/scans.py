@@ -98,7 +98,7 @@ def arbitrated(existing: Column, candidate: Column, similar: Column) -> Column:
     old, new = T.compact(existing), T.compact(candidate)
     better = new.rlike(MEASURE) & ~old.rlike(MEASURE) & (similar >= SIMILAR)
     size = F.regexp_extract(new, r"(\d+(?:\.\d+)?)mm", 1)
-    at = F.locate(size, existing)
+    at = F.position(size, existing)
     lent = F.concat(F.substring(existing, F.lit(1), at - 1), size, F.lit("mm"), F.substring(existing, at + F.length(size), F.length(existing)))
     has = (size != "") & F.contains(old, size)
     return F.when(existing == "", candidate).when(better, F.when(F.contains(new, F.lit("L=")), candidate).when(has & (at > 0), lent).otherwise(candidate)).otherwise(existing)
