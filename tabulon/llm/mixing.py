@@ -29,7 +29,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Weights of the sources in code point order, repeated.
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-BLOCK, SHARD_BLOCKS, RUN, PART, ROUNDS = 256, 4096, 10_000, 65_536, 24
+BLOCK, SHARD_BLOCKS, RUN, PART, ROUNDS = 256, 4096, 10_000, 4096, 24
 
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -80,8 +80,10 @@ def slots(sources: DataFrame, seed: int = 0, block: int = BLOCK, shard_blocks: i
     s = s.withColumn("n", F.col("passes") * F.col("blocks") + F.col("left") + (F.col("cut") > 0).cast("int")).filter("n > 0")
     all_words = F.sum("goal").over(Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     s = s.withColumn("shards", F.greatest(F.lit(1), F.ceil(all_words / (block * shard_blocks))).cast("bigint"))
-    # A source of many slots is dealt out in parts before its slots are listed.
-    s = s.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / PART)))).repartition("source", "part")
+    # A source of many slots is dealt out in parts before its slots are listed. The number of partitions is given, since by the
+    # size of the parts' table all of them would be put into one task.
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    s = s.withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / PART)))).repartition(tasks, "source", "part")
     low = F.col("part") * PART
     s = s.withColumn("k", F.explode(F.sequence(low, F.least(low + PART, F.col("n")) - 1)))
     s = s.withColumns({"pass": F.floor(F.col("k") / F.col("blocks")), "j": F.col("k") % F.col("blocks")})
@@ -112,7 +114,8 @@ def segments(rows: DataFrame, sources: DataFrame, n_rows: int, seed: int = 0, bl
     docs = placed(rows, n_rows, seed)
     docs = docs.withColumn("block", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
     deal = slots(sources, seed, block).withColumnRenamed("source", "_source")
-    both = docs.join(deal, docs["source"].eqNullSafe(deal["_source"]) & (docs["block"] == deal["block"])).drop(deal["block"]).drop("_source")
+    # Sizes are estimated from before the listing, so that a broadcast would look small when it isn't.
+    both = docs.join(deal.hint("merge"), docs["source"].eqNullSafe(deal["_source"]) & (docs["block"] == deal["block"])).drop(deal["block"]).drop("_source")
     low, high = F.greatest("start", F.col("block") * block), F.least(F.col("start") + F.col("size"), F.col("block") * block + F.col("taken"))
     both = both.withColumns({"first": low - F.col("start"), "words": high - low}).filter("words > 0")
     return both.select("id", "source", "size", "start", "pass", "shard", "draw", "first", "words")
