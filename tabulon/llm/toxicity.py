@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     reachable(docs.sparkSession)
     known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
     chosen = known.withColumn("h", F.xxhash64("id", "y")).orderBy("h", "id", "y").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen.select("id", "y"), "id").select("id", "text", "y")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "y")), "id").select("id", "text", "y")  # ``sample`` rows at most
 
     def mine(batches: Iterator) -> Iterator:
         import pyarrow as pa
