@@ -127,10 +127,8 @@ def header_key(cleaned: Column) -> Column:
 
 def header_role(cleaned: Column) -> Column:
     """The role that a header cell names, or blank."""
-    key, out = header_key(cleaned), F.lit("")
-    for role, names in reversed(HEADER_ALIASES.items()):
-        out = F.when(key.isin(names), role).otherwise(out)
-    return out
+    pairs = [F.lit(x) for role, names in HEADER_ALIASES.items() for name in names for x in (name, role)]
+    return F.coalesce(F.try_element_at(F.create_map(*pairs), header_key(cleaned)), F.lit(""))
 
 
 def cell_text(kind: Column, number: Column, cleaned: Column) -> Column:

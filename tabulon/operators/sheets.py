@@ -18,6 +18,8 @@ ROLES = list(T.HEADER_ALIASES)
 KEY = ["doc_id", "sheet_idx"]
 #: Rows and columns that are searched for headers, titles and dates; rows that a quantity may stand below.
 HEADER_AREA, TITLE_AREA, DATE_AREA, LOOK_AHEAD = (120, 40), (15, 15), (150, 40), 4
+#: Pages that are searched for the estimate's month.
+PAGES = 15
 #: Columns of the roles in sheets of the legacy layout.
 LEGACY_COLUMNS = {"work_type": 1, "category": 2, "item_name": 3, "specification": 4, "unit": 5, "quantity": 6, "remarks": 7, "standard": 8, "daily_output": 9, "setting": 10, "notes": 11}
 NO_SUMMARY = "数量総括表という名前のシートが無いため、見出し構成が最も近い表を選択しました: "
@@ -72,10 +74,10 @@ def role_rows(cells: DataFrame, tables: DataFrame) -> DataFrame:
     header, and the table's level and section."""
     lists = tables.join(cells.groupBy(*KEY).agg(F.max("max_row").alias("last_row")), KEY)
     carried = ["sheet", "level", "header_row", "last_row", "source_file", *(f"c_{r}" for r in ROLES)]
-    both = cells.drop("sheet").join(lists, KEY).filter("row > header_row and row <= last_row").select(*KEY, *carried, "row", "col", "vtype", "num_val", "text")
+    both = cells.drop("sheet").join(lists, KEY).filter("row > header_row and row <= last_row").select(*KEY, *carried, "row", "col", "vtype", "num_val", "text", (T.header_role(F.col("text")) != "").alias("head"))
     dense = lists.join(cells.groupBy(*KEY).agg(F.first("source_file").alias("source_file")), KEY).filter("last_row > header_row").withColumn("row", F.explode(F.sequence(F.col("header_row") + 1, F.col("last_row"))))
-    blanks = dense.select(*KEY, *carried, "row", F.lit(0).alias("col"), F.lit(None).cast("string").alias("vtype"), F.lit(None).cast("double").alias("num_val"), F.lit("").alias("text"))
-    cell = F.struct("vtype", "num_val", "text")
+    blanks = dense.select(*KEY, *carried, "row", F.lit(0).alias("col"), F.lit(None).cast("string").alias("vtype"), F.lit(None).cast("double").alias("num_val"), F.lit("").alias("text"), F.lit(False).alias("head"))
+    cell = F.struct("vtype", "num_val", "text", "head")
     rows = both.unionByName(blanks).groupBy(*KEY, "row").agg(
         *(F.first(c).alias(c) for c in carried),
         *(F.max(F.when(F.col("col") == F.col(f"c_{r}"), cell)).alias(f"v_{r}") for r in ROLES),
@@ -83,7 +85,7 @@ def role_rows(cells: DataFrame, tables: DataFrame) -> DataFrame:
     )
     shown = [F.coalesce(F.col(f"v_{r}.text"), F.lit("")) for r in ROLES]
     checked = sum(((s != "").cast("int") for s in shown), F.lit(0))
-    matched = sum(((T.header_role(s) != "").cast("int") for s in shown), F.lit(0))
+    matched = sum((F.coalesce(F.col(f"v_{r}.head"), F.lit(False)).cast("int") for r in ROLES), F.lit(0))
     title = F.col("title").rlike("総括表|数量計算書") | F.col("title").rlike("(?U)" + T.PROJECT_LABEL)
     texts = {f"t_{r}": T.cell_text(F.col(f"v_{r}.vtype"), F.col(f"v_{r}.num_val"), s) for r, s in zip(ROLES, shown) if r != "quantity"}
     own = T.cell_quantity(F.col("v_quantity.vtype"), F.col("v_quantity.num_val"), F.coalesce("v_quantity.text", F.lit("")))
@@ -192,3 +194,14 @@ def estimate_months(cells: DataFrame, today: Column | None = None) -> DataFrame:
     docs = cells.select("doc_id").distinct().join(found, "doc_id", "left")
     source = F.when(F.col("month").isNull(), "PC_DATE").otherwise("SOURCE")
     return docs.select("doc_id", F.coalesce("month", today if today is not None else F.current_date()).alias("month"), source.alias("month_source"))
+
+
+def estimate_months_of_pages(pages: DataFrame, today: Column | None = None) -> DataFrame:
+    """(doc_id, month, month_source) from page texts (doc_id, page, page_text): the first labelled line of the first PAGES pages that names a month."""
+    lines = pages.filter(F.col("page") <= PAGES).select("doc_id", "page", F.posexplode(F.split("page_text", r"\r\n|\r|\n")).alias("line", "raw"))
+    labelled = reduce(lambda a, b: a | b, (F.col("raw").contains(x) for x in T.MONTH_LABELS))
+    found = lines.filter(labelled).withColumn("month", T.year_month(T.clean(F.col("raw")))).filter("month is not null")
+    found = found.groupBy("doc_id").agg(F.min_by("month", F.struct("page", "line")).alias("month"))
+    docs = pages.select("doc_id").distinct().join(found, "doc_id", "left")
+    source = F.when(F.col("month").isNull(), "PC_DATE").otherwise("SOURCE")
+    return docs.select("doc_id", F.coalesce("month", today if today is not None else F.current_date()).alias("month"), source.alias("month_source"))

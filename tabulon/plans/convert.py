@@ -88,3 +88,25 @@ def reconciliation(source: DataFrame, reviews: DataFrame, path: str) -> dict[str
     with open(os.path.splitext(path)[0] + ".json", "w", encoding="utf-8") as f:
         json.dump({"output": os.path.abspath(path), "status_counts": counts}, f, ensure_ascii=False, indent=2)
     return counts
+
+
+def write_extraction(records: DataFrame, path: str) -> dict:
+    """Writes records as CSV (warnings joined) with a JSON file of their status counts beside it; returns those."""
+    from ..operators.sheets import RECORD
+
+    kept = [c for c in RECORD if c in records.columns]
+    shown = records.orderBy("doc_id", "source_page", "source_row").select(*(F.array_join(c, "; ").alias(c) if c == "extraction_warnings" else F.col(c) for c in kept))
+    files.write_csv(shown, path)
+    counts = {r[0]: r[1] for r in classify.counts(records, "extraction_status").collect()}
+    found = {"records": sum(counts.values()), "status_counts": counts}
+    with open(os.path.splitext(path)[0] + ".json", "w", encoding="utf-8") as f:
+        json.dump(found, f, ensure_ascii=False, indent=2)
+    return found
+
+
+def batch_summary(done: DataFrame, path: str) -> list[dict]:
+    """Writes the counts of every document of a batch as JSON, one entry for each."""
+    found = [r.asDict() for r in classify.summary(done).orderBy("doc_id").collect()]
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump({"documents": found}, f, ensure_ascii=False, indent=2)
+    return found

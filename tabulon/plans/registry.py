@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -401,6 +401,78 @@ def status_rollup(spark, sf_dir):
     return classify.summary(done).join(done.groupBy("doc_id").agg(F.count_distinct("match_status").alias("statuses")), "doc_id")
 
 
+def _event_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A summary sheet for each user: a header, and a row for each event, labels and quantities by kind of event."""
+    e = _table(spark, sf_dir, "events")
+    row = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) + 3
+    kind, text = F.col("event_type"), lambda k, p: F.when(F.col("event_type") == k, F.concat(F.lit(p), F.col("event_id") % 7))
+    number = F.when(kind.isin("purchase", "view"), F.col("value"))
+    cell = lambda c, s, n=F.lit(None).cast("double"): F.struct(F.lit(c).alias("col"), s.cast("string").alias("str_val"), n.alias("num_val"))
+    none = F.lit(None)
+    own = F.array(cell(1, text("signup", "W")), cell(2, text("error", "C")), cell(3, F.coalesce(text("click", "I"), F.when((kind == "view") & (F.col("event_id") % 11 == 0), "合計"))), cell(4, text("purchase", "s")), cell(5, F.when(F.col("event_id") % 2 == 0, "m2")), cell(6, none, number))
+    body = e.withColumn("row", row).select("user_id", "row", F.inline(own))
+    heads = F.array(*(cell(i, F.lit(h)) for i, h in enumerate(["工種", "種別", "細別", "規格", "単位", "数量"], 1)))
+    head = e.select("user_id").distinct().select("user_id", F.lit(3).alias("row"), F.inline(heads))
+    rows = body.unionByName(head).filter("str_val is not null or num_val is not null")
+    deep = F.max("row").over(Window.partitionBy("user_id"))
+    doc = F.col("user_id").cast("string")
+    return rows.withColumn("max_row", deep).select(
+        doc.alias("doc_id"), doc.alias("source_file"), F.lit(0).alias("sheet_idx"), F.lit("数量総括").alias("sheet"), F.lit("visible").alias("state"), "max_row", F.lit(6).alias("max_col"), "row", "col",
+        F.when(F.col("num_val").isNotNull(), "n").otherwise("s").alias("vtype"), "str_val", "num_val", F.lit(None).cast("timestamp").alias("ts_val"),
+    )
+
+
+_SHEET_SQL = """with e as (select user_id::varchar as doc_id, event_id, row_number() over (partition by user_id order by ts, event_id) + 3 as r,
+  case when event_type = 'signup' then 'W' || (event_id % 7) else '' end as w, case when event_type = 'error' then 'C' || (event_id % 7) else '' end as c,
+  case when event_type = 'click' then 'I' || (event_id % 7) when event_type = 'view' and event_id % 11 = 0 then '合計' else '' end as i, case when event_type = 'purchase' then 's' || (event_id % 7) else '' end as s,
+  case when event_id % 2 = 0 then 'm2' else '' end as u, case when event_type in ('purchase', 'view') then value end as q from events),
+n as (select *, i <> '合計' as live, (w || c || i || u) <> '' as stop from e),
+l as (select *, lead(q, 1) over x as q1, lead(q, 2) over x as q2, lead(q, 3) over x as q3, lead(q, 4) over x as q4, coalesce(lead(stop, 1) over x, true) as s1, coalesce(lead(stop, 2) over x, true) as s2,
+  coalesce(lead(stop, 3) over x, true) as s3, coalesce(lead(stop, 4) over x, true) as s4 from n window x as (partition by doc_id order by r)),
+d as (select *, case when q is not null or s1 then 0 when q1 is not null then 1 when s2 then 0 when q2 is not null then 2 when s3 then 0 when q3 is not null then 3 when s4 then 0 when q4 is not null then 4 else 0 end as dist from l),
+f as (select *, case dist when 0 then q when 1 then q1 when 2 then q2 when 3 then q3 else q4 end as found,
+  coalesce(lag(dist, 1) over x = 1 and lag(live, 1) over x, false) or coalesce(lag(dist, 2) over x = 2 and lag(live, 2) over x, false) or coalesce(lag(dist, 3) over x = 3 and lag(live, 3) over x, false) or coalesce(lag(dist, 4) over x = 4 and lag(live, 4) over x, false) as used
+  from d window x as (partition by doc_id order by r)),
+k as (select *, count(nullif(w, '')) over x as gw, count(nullif(w || c, '')) over x as gc from f where live and not used window x as (partition by doc_id order by r rows unbounded preceding)),
+p as (select *, coalesce(last_value(nullif(w, '') ignore nulls) over (partition by doc_id order by r rows unbounded preceding), '') as fw, coalesce(last_value(nullif(c, '') ignore nulls) over (partition by doc_id, gw order by r rows unbounded preceding), '') as fc,
+  coalesce(last_value(nullif(i, '') ignore nulls) over (partition by doc_id, gc order by r rows unbounded preceding), '') as fi, coalesce(last_value(nullif(u, '') ignore nulls) over (partition by doc_id order by r rows unbounded preceding), '') as fu from k),
+o as (select *, case when u <> '' then u when s <> '' or found is not null then fu else '' end as unit from p where (w || c || i || s || u) <> '' or found is not null)
+select doc_id, r::int as source_row, fw as work_type, fc as category, fi as item_name, s as specification, unit, found as quantity, case when found is null then 'SOURCE_REVIEW_REQUIRED' else 'READY' end as extraction_status
+from o where fi <> '' and unit <> '' and not coalesce(found = 0 and i = '' and s = '', false)"""
+
+
+@query(_SHEET_SQL)
+def sheet_records(spark, sf_dir):
+    """Records of one sheet for each user, through detection, look-ahead and carry-down."""
+    found = sheets.records(sheets.prepared(_event_cells(spark, sf_dir)))
+    return found.select("doc_id", "source_row", "work_type", "category", "item_name", "specification", "unit", "quantity", "extraction_status")
+
+
+def _order_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table for each customer: a header and a row for each order."""
+    o = _table(spark, sf_dir, "orders")
+    row = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    cells = F.array(F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("W"), F.col("o_orderkey") % 5)).otherwise(""), F.substring("o_orderpriority", 3, 20), F.lit("規格"), F.when(F.col("o_orderstatus") != "P", "m2").otherwise(""), F.round("o_totalprice", 1).cast("string"), F.lit(""))
+    body = o.select("o_custkey", row.alias("row"), cells.alias("cells"))
+    head = o.select("o_custkey").distinct().select("o_custkey", F.lit(0).alias("row"), F.array(*(F.lit(x) for x in ("工種", "名称", "規格", "単位", "数量", "備考"))).alias("cells"))
+    return body.unionByName(head).select(F.col("o_custkey").cast("string").alias("doc_id"), F.lit(1).alias("page"), F.lit("数量総括表").alias("page_text"), F.lit(0).alias("table_idx"), "row", "cells")
+
+
+@query("""with o as (select o_custkey::varchar as doc_id, row_number() over (partition by o_custkey order by o_orderkey) as r, case when o_orderstatus = 'F' then 'W' || (o_orderkey % 5) end as w, substring(o_orderpriority, 3, 20) as i, o_orderstatus, round(o_totalprice, 1) as q from orders)
+select doc_id, (r + 1)::int as source_row, coalesce(last_value(w ignore nulls) over (partition by doc_id order by r rows unbounded preceding), '') as work_type, i as item_name, q as quantity from o qualify o_orderstatus <> 'P'""")
+def grid_records(spark, sf_dir):
+    """Records of a table matrix for each customer."""
+    return grids.records(_order_grids(spark, sf_dir)).select("doc_id", "source_row", "work_type", "item_name", "quantity")
+
+
+@query("""with o as (select o_custkey::varchar as doc_id, row_number() over (partition by o_custkey order by o_orderkey) as r, case when o_orderstatus = 'F' then 'W' || (o_orderkey % 5) end as w, substring(o_orderpriority, 3, 20) as i, o_orderstatus, round(o_totalprice, 1) as q from orders)
+select doc_id, (r + 1)::int as source_row, coalesce(last_value(w ignore nulls) over (partition by doc_id order by r rows unbounded preceding), '') as work_type, i as item_name, q as quantity, case when o_orderstatus = 'P' then 0.45 else 0.7 end::double as extraction_confidence from o""")
+def scan_records(spark, sf_dir):
+    """Records of the same matrices as scans."""
+    rows = _order_grids(spark, sf_dir).select("doc_id", "page", "row", "cells")
+    return scans.records(rows).select("doc_id", "source_row", "work_type", "item_name", "quantity", "extraction_confidence")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _FOUND.items()}
 

@@ -22,8 +22,6 @@ DEEP = DETAIL + [(20, 4, "細別名", None), (21, 13, "細別行", None), (24, 5
 
 
 def test_workbook_round_trip(spark, tmp_path):
-    path = book(tmp_path / "a.xlsx", {"x<&": [(2, 3, "あ & <b>", None), (1, 28, None, 1.5)], "y": [(1, 1, None, 7.0)]})
-    rows = {(r.sheet, r.row, r.col): (r.vtype, r.str_val, r.num_val) for r in workbooks.workbook_cells(spark, path).collect()} if False else None
     path = book(tmp_path / "a.xlsx", {"x": [(2, 3, "あ & <b>", None), (1, 28, None, 1.5)], "y": [(1, 1, None, 7.0)]})
     rows = {(r.sheet, r.row, r.col): (r.vtype, r.str_val, r.num_val, r.max_row, r.max_col) for r in workbooks.workbook_cells(spark, path).collect()}
     assert rows == {("x", 2, 3): ("s", "あ & <b>", None, 2, 28), ("x", 1, 28): ("n", None, 1.5, 2, 28), ("y", 1, 1): ("n", None, 7.0, 1, 1)}
@@ -59,6 +57,11 @@ def test_convert(spark, tmp_path):
     done = convert.items(cells, catalog).cache()
     r = done.first()
     assert (r.match_status, r.output_code, r.output_level2) == ("CATALOG_EXACT_CODE", "CB410260", "舗装")
+    assert convert.write_extraction(sheets.records(cells), str(tmp_path / "x.csv")) == {"records": 1, "status_counts": {"READY": 1}}
+    assert convert.batch_summary(done, str(tmp_path / "b.json"))[0]["codes"] == 1
+    pages = spark.createDataFrame([("p", 1, "x\n単価年月 R7.4"), ("q", 16, "積算年月 2024/1")], "doc_id string, page int, page_text string")
+    months = {r.doc_id: (str(r.month), r.month_source) for r in sheets.estimate_months_of_pages(pages, F.lit("2020-01-01").cast("date")).collect()}
+    assert months == {"p": ("2025-04-01", "SOURCE"), "q": ("2020-01-01", "PC_DATE")}
     template = workbooks.workbook_bytes({n: [(40 if n == layout.MAIN else 1, 1, "old", None)] for n in layout.SHEETS})
     out = tmp_path / "out.xlsx"
     assert convert.write_workbook(template, done, convert.covers(cells, done, district="D"), str(out)) == 4
