@@ -6,12 +6,16 @@ import os
 
 from pyspark.sql import SparkSession
 
+#: Bytes of an Arrow batch between the JVM and Python: what is in flight must fit beside the heap of a small executor.
+BATCH, DEFAULT = "8m", "67108864b"
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def reachable(spark: SparkSession) -> SparkSession:
-    """Lets Python workers import this package where it lies in the same place as for the driver (local mode, or a package
+    """Bounds the batches sent to Python workers, if the session doesn't, and lets the workers import this package where it lies in the same place as for the driver (local mode, or a package
     folder on every machine); elsewhere it has to be installed or sent with ``--py-files``."""
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", BATCH) == DEFAULT:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     env = spark.sparkContext.environment
     known = env.get("PYTHONPATH", "")
     if ROOT not in known.split(os.pathsep):
