@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reachable
-from .common import chunks, sent
+from .common import chunks, sent, stored
 
 #: Common insults of English, German, French and Spanish, the lexicon voters.
 LEXICON = [
@@ -48,7 +48,7 @@ LEXICON_WEIGHT = 3.0
 BEGINNINGS = (3, 4, 5, 6, 7)
 SAMPLE = 20_000
 #: Most mined voters, most features of the classifier, and rows in which a mined voter fires at least.
-VOTERS, FEATURES, SUPPORT = 300, 4000, 3
+VOTERS, FEATURES, SUPPORT = 300, 2000, 3
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -143,7 +143,7 @@ def _logistic(index: list[np.ndarray], target: np.ndarray, n: int, centre: np.nd
     """Weights and intercept of a ridge logistic regression on binary features, by gradient steps scaled for each
     feature (AdaGrad); ``ridge`` pulls the weights to ``centre``."""
     size = np.array([len(x) for x in index])
-    row, col = np.repeat(np.arange(len(index)), size), np.concatenate([*index, np.zeros(0, np.int64)]).astype(np.int64)
+    row, col = np.repeat(np.arange(len(index), dtype=np.int32), size), np.concatenate([*index, np.zeros(0, np.int32)])
     w, seen = np.append(centre, 0.0), np.full(n + 1, 1e-8)
     w[n] = np.log((target.sum() + 0.5) / ((1 - target).sum() + 0.5))
     for _ in range(rounds):
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for a in range(0, len(names), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 20_000], pa.string()), *(pa.array(g[a : a + 20_000], pa.int64()) for g in got)], names=["token", "neg", "pos"])
 
-    summed = rows.select("text", "y").mapInArrow(mine, "token string, neg bigint, pos bigint").groupBy("token").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
+    summed = stored(rows.select("text", "y").mapInArrow(mine, "token string, neg bigint, pos bigint").groupBy("token").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
     # The candidates for voters and features: those of the largest absolute log-odds in units of their error.
     total = summed.filter("token = ''")
     edge = summed.filter((F.col("token") == "") | F.col("token").isin(LEXICON) | (F.col("pos") + F.col("neg") >= SUPPORT))
@@ -197,18 +197,18 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         import pyarrow as pa
 
         for batch in chunks(batches, "text"):
-            found = [sorted(place[x] for x in place.keys() & tokens(t)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.list_(pa.int32()))], names=["id", "y", "found"])
+            found = [np.array(sorted(place[x] for x in place.keys() & tokens(t)), dtype=np.int32).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "found"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(index, f"id {kind}, y int, found array<int>").collect()
+    got = rows.mapInArrow(index, f"id {kind}, y int, found binary").collect()
     got.sort(key=lambda r: (r.id, r.y))
     y = np.array([r.y for r in got], dtype=np.float64)
-    found = [np.array(r.found, dtype=np.int64) for r in got]
+    found = [np.frombuffer(r.found, dtype=np.int32) for r in got]
     votes = np.zeros((len(got), len(voters)), dtype=np.float32)
     for i, f in enumerate(found):
         votes[i, f[f < len(voters)]] = 1
-    model = LabelModel.fit(votes.astype(np.float64), np.clip(y, 0.05, 0.95))
+    model = LabelModel.fit(votes, np.clip(y, 0.05, 0.95))
     post = model.posterior(votes)
     centre, ridge = np.zeros(len(features)), np.full(len(features), 3.0)
     centre[: len(LEXICON)], ridge[: len(voters)] = LEXICON_WEIGHT, 0.3
