@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import reachable
+from ..session import reachable, stored
 
 #: Thresholds of pools, paths and codes.
 NAME_LEAST, NAME_BELOW_BEST = 0.82, 0.04
@@ -147,8 +147,9 @@ ENTRY = ["level1", "level2", "level3", "level4", "level5", "item_name", "unit",
 
 def match(items: DataFrame, catalog: DataFrame, digits: int | None = 3) -> DataFrame:
     """(ord, MATCH columns, c_<entry columns>) of each item. Items have a unique ``ord``. Scores are rounded to ``digits`` but for NOT_FOUND."""
-    entries = catalog_keys(catalog).withColumnRenamed("ord", "entry_ord").withColumnsRenamed({c: c for c in ENTRY})
-    pool, missed = candidates(item_keys(items), entries.drop("specification"))
+    # Both sides are read several times: they are normalised once and kept in the shared folder.
+    entries = stored(catalog_keys(catalog).withColumnRenamed("ord", "entry_ord").drop("specification"))
+    pool, missed = candidates(stored(item_keys(items)), entries)
     best = ranked(scored(pool))
     shown = (lambda c: F.round(c, digits)) if digits is not None else (lambda c: F.col(c))
     found = best.select("ord", "status", *(shown(c).alias(c) for c in ("score", "name_score", "specification_score")), "candidate_count", "path_safe", "code_safe", *(F.col(c).alias(f"c_{c}") for c in ENTRY))
