@@ -29,16 +29,17 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import math
 
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reachable
-from .common import chunks, sent, stored
+from .common import chunks, sent, stored, tidy
 from .graph import components
 
 #: N-grams (of all documents together) that one region may hold in a task.
@@ -47,6 +48,8 @@ REGION = 1_500_000
 PIVOTS, CUTS = 8, 3
 #: An n-gram is common if the tasks met it more than so often in different sets; so many are known as such at most.
 OFTEN, COMMON = 32, 1 << 18
+#: N-grams of all documents for each part of the projections' keys.
+PART = 1_000_000
 #: Rows of projections a task gathers before it ties them.
 GATHER = 1_500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -120,13 +123,21 @@ def _set_id(grams: np.ndarray) -> bytes:
 
 
 @functools.lru_cache(maxsize=8)
-def spread(percent: int) -> float:
-    """Classes for each element of a link's difference: as few as still leave more non-empty ones than those if half of the
-    n-grams are common."""
-    each, s = percent / (100 - percent), 1.05
-    while s < 3 and s * (1 - np.exp(-each / (2 * s))) < 1.06:
-        s += 0.05
-    return s
+def tiers(percent: int) -> tuple[tuple[int, float], ...]:
+    """(least content of a class, classes for each element of a link's difference), strictest first: classes with more content tell
+    documents apart better, but must outnumber the difference even if a tenth (in the last tier a half) of the n-grams are common."""
+    each, out = percent / (100 - percent), []
+
+    def enough(least: int, s: float, share: float) -> bool:
+        mean = share * each / s
+        below = sum(mean**k * math.exp(-mean) / math.factorial(k) for k in range(least))
+        return s * (1 - below) >= 1.06
+
+    for least, share, most in ((3, 0.9, 1.5), (2, 0.9, 2.05), (1, 0.5, 4.0)):
+        s = next((x / 20 for x in range(21, int(most * 20) + 1) if enough(least, x / 20, share)), None)
+        if s and (not out or least == 1):
+            out.append((least, s))
+    return tuple(out)
 
 
 @functools.lru_cache(maxsize=8)
@@ -140,23 +151,28 @@ def levels(percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low[:-1], dtype=np.int64), (100 - percent) * most // percent
 
 
-def _contents(grams: np.ndarray, level: int, classes: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers of the classes that are not empty, a hash of the content of each)."""
-    salt = _mix(np.array([2 * level + kind], dtype=np.uint64))
+def _contents(grams: np.ndarray, level: int, classes: int, kind: int, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers of the classes that hold ``least`` n-grams or more, a hash of the content of each)."""
+    salt = _mix(np.array([8 * level + kind], dtype=np.uint64))
     place = ((grams >> np.uint64(32)) * np.uint64(classes)) >> np.uint64(32)  # ascending, as the hashes are
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else np.zeros(0, np.int64)
-    if not len(first):
+    if not len(place):
         return place, place
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     content = np.add.reduceat(_mix(grams + salt), first)
+    if least > 1:
+        full = np.diff(np.append(first, len(place))) >= least
+        first, content = first[full], content[full]
     return place[first], _mix(content ^ _mix(place[first] * _A + salt))
 
 
 def projections(grams: np.ndarray, common: np.ndarray, percent: int) -> np.ndarray:
     """Hashes of the contents of a set's classes in its level and the next one.
 
-    Let d be the most elements that a link's difference has there. If the n-grams that are not common fill more than d classes
-    of either document, then one that is not empty is untouched, and both documents have it. Else both take part with all n-grams, in d + 2
-    classes, of which at least two are untouched; empty ones then count only if there are two or more."""
+    Let d be the most elements that a link's difference has there. A document takes part with the classes of a tier; if these are no
+    more than d, with those of the next tier too. Of two linked documents' classes at most d are touched by the difference, so if
+    one document has more than d in a tier, an untouched one is common to both; and if neither has, both go on to the next
+    tier. Behind the last tier come all n-grams, the common ones included, in d + 2 classes, of which at least two are untouched; empty
+    ones then count only if there are two or more."""
     low, most = levels(percent)
     own = int(np.searchsorted(low, len(grams), side="right")) - 1
     rare = grams
@@ -166,15 +182,17 @@ def projections(grams: np.ndarray, common: np.ndarray, percent: int) -> np.ndarr
     out = []
     for level in (own, own + 1):
         d = int(most[level])
-        place, keys = _contents(rare, level, int(spread(percent) * d) + 2, 0)
-        out.append(keys)
-        if len(place) > d:
-            continue
-        place, keys = _contents(grams, level, d + 2, 1)
-        out.append(keys)
-        if d + 2 - len(place) >= 2:
-            empty = np.setdiff1d(np.arange(d + 2, dtype=np.uint64), place)
-            out.append(_mix(_mix(empty * _A + np.uint64(level)) ^ _B))
+        for kind, (least, s) in enumerate(tiers(percent)):
+            place, keys = _contents(rare, level, int(s * d) + 2, kind + 1, least)
+            out.append(keys)
+            if len(place) > d:
+                break
+        else:
+            place, keys = _contents(grams, level, d + 2, 0)
+            out.append(keys)
+            if d + 2 - len(place) >= 2:
+                empty = np.setdiff1d(np.arange(d + 2, dtype=np.uint64), place)
+                out.append(_mix(_mix(empty * _A + np.uint64(level)) ^ _B))
     return np.concatenate(out)
 
 
@@ -185,6 +203,7 @@ def _flat(sets: list[np.ndarray]) -> np.ndarray:
 def described(df: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, set_id binary, node long, gram long, seen long): a row for each document, equal sets having equal ids
     and ``node`` being the id's short form; and rows (gram, seen) of n-grams that a task met in several different sets."""
+    reachable(df.sparkSession)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -210,14 +229,14 @@ def described(df: DataFrame, n: int, id_col: str = "doc_id", text_col: str = "te
                     known.add(node)
                     held.append(s)
                     count += len(s)
-            if count > GATHER * 4:
+            if count > GATHER * 2:
                 yield from often()
                 known.clear()
                 held, count = [], 0
         if held:
             yield from often()
 
-    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, n_shingles bigint, set_id binary, node bigint, gram bigint, seen bigint")
+    return df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), "id bigint, n_shingles bigint, set_id binary, node bigint, gram bigint, seen bigint")
 
 
 def common_grams(info: DataFrame) -> np.ndarray:
@@ -239,25 +258,40 @@ def _tied(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], nodes[first], edges
 
 
-def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(a, b): nodes of different sets that share a region of a projection, tied to the region's smallest node."""
+_ROW = np.dtype([("key", "<u8"), ("node", "<i8")])
+
+
+def _dealt(keys: np.ndarray, parts: int) -> np.ndarray:
+    return ((keys.view(np.uint64) >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, parts: int, text_col: str = "text") -> DataFrame:
+    """(a, b): nodes of different sets that share a region of a projection, tied to the region's smallest node.
+
+    (key, node) pairs are shuffled packed, a row for each task and part of the keys, which takes half the bytes of rows of their own."""
     given = sent(df, common)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         held, count = [], 0
+        seen: set[int] = set()
 
         def flush():
             keys, nodes, edges = _tied(np.concatenate([k for k, _ in held]).view(np.int64), np.concatenate([v for _, v in held]))
-            for a in range(0, len(keys), 200_000):
-                k = keys[a : a + 200_000]
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(nodes[a : a + 200_000]), pa.nulls(len(k), pa.int64())], names=["key", "a", "b"])
-            if len(edges):
-                a, b = (np.ascontiguousarray(edges[:, i]) for i in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(_mix(a.view(np.uint64) * _A + b.view(np.uint64)).view(np.int64)), pa.array(a), pa.array(b)], names=["key", "a", "b"])
+            for kind, k, v in ((0, keys, nodes), (1, edges[:, 0], edges[:, 1])):
+                # Edges are dealt out by their own hash.
+                part = _dealt(_mix(k.view(np.uint64) + v.view(np.uint64) * _A) if kind else k, parts)
+                order = np.argsort(part, kind="stable")
+                rows = np.empty(len(k), dtype=_ROW)
+                rows["key"], rows["node"] = np.ascontiguousarray(k).view(np.uint64)[order], v[order]
+                names, first = np.unique(part[order], return_index=True)
+                ends = np.append(first[1:], len(rows))
+                for a in range(0, len(names), 64):
+                    some = slice(a, a + 64)
+                    packed = [rows[x:y].tobytes() for x, y in zip(first[some], ends[some])]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array([bool(kind)] * len(packed)), pa.array(packed, pa.binary())], names=["part", "edges", "packed"])
 
-        seen: set[int] = set()
         for batch in chunks(batches, "text"):
             for grams in ngram_sets(batch.column("text").to_pylist(), n):
                 if not len(grams):
@@ -276,11 +310,28 @@ def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, tex
         if held:
             yield from flush()
 
-    # One shuffle and one pass; a task has tied its own rows, so that a key has a row for each task at most.
-    found = df.select(F.col(text_col).alias("text")).mapInArrow(run, "key bigint, a bigint, b bigint")
-    root = F.min(F.when(F.col("b").isNull(), F.col("a"))).over(Window.partitionBy("key"))
-    ends = F.when(F.col("b").isNull(), F.struct(F.col("root").alias("a"), F.col("a").alias("b"))).otherwise(F.struct("a", "b"))
-    return found.withColumn("root", root).select(ends.alias("e")).select("e.a", "e.b").filter("a <> b").distinct()
+    def tie(batches: Iterator) -> Iterator:
+        """Rows of a partition come sorted by part."""
+        import pyarrow as pa
+
+        def rows():
+            for batch in batches:
+                yield from zip(*(batch.column(c).to_pylist() for c in ("part", "edges", "packed")))
+
+        for _, members in groupby(rows(), key=lambda r: r[0]):
+            kinds: tuple[list, list] = ([], [])
+            for _, kind, packed in members:
+                kinds[kind].append(np.frombuffer(packed, dtype=_ROW))
+            found = [np.stack([x["key"].view(np.int64), x["node"]], axis=1) for x in kinds[1]]
+            if kinds[0]:
+                x = np.concatenate(kinds[0])
+                found.append(_tied(x["key"].view(np.int64), x["node"])[2])
+            edges = np.unique(np.concatenate(found), axis=0)
+            if len(edges):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], names=["a", "b"])
+
+    packed = df.select(F.col(text_col).alias("text")).mapInArrow(tidy(run), "part bigint, edges boolean, packed binary")
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(tie), "a bigint, b bigint").distinct()
 
 
 def linked(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -360,7 +411,7 @@ def _joined(regions: DataFrame, percent: int) -> DataFrame:
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
-    return regions.repartition("region").sortWithinPartitions("region", "id").mapInPandas(run, "a bigint, b bigint")
+    return regions.repartition("region").sortWithinPartitions("region", "id").mapInPandas(tidy(run), "a bigint, b bigint")
 
 
 def _cut(members: DataFrame, percent: int, round_: int) -> DataFrame:
@@ -388,7 +439,8 @@ def _tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): a spanning forest of the groups of linked documents, each set standing for its smallest id."""
-    clusters = stored(components(candidate_edges(df, n, percent, common_grams(info), text_col)))
+    total = info.agg(F.sum("n_shingles")).first()[0] or 0
+    clusters = stored(components(candidate_edges(df, n, percent, common_grams(info), 1 + total // PART, text_col)))
     firsts = info.filter("gram is null and n_shingles > 0 and id is not null").groupBy("set_id", "node").agg(F.min("id").alias("id"))
     chosen = firsts.join(clusters, "node").select("id", "set_id", F.col("label").alias("region"))
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("region", "id", "set_id", "text")
@@ -402,7 +454,7 @@ def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "d
             kept = batch.take(pa.array(same, pa.int64()))
             yield pa.RecordBatch.from_arrays([kept.column("region"), kept.column("id"), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["region", "id", "grams"])
 
-    active = stored(texts.mapInArrow(run, "region bigint, id bigint, grams array<bigint>"))
+    active = stored(texts.mapInArrow(tidy(run), "region bigint, id bigint, grams array<bigint>"))
     out = None
     for round_ in range(CUTS + 1):
         sizes = stored(active.groupBy("region").agg(F.sum(F.size("grams").cast("bigint")).alias("total")))
