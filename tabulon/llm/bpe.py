@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, sent
+from .common import chunks, sent, tidy
 
 LETTER, NUMBER, OTHER, SPACE, WHITE = range(5)
 #: Code points with the White_Space property besides U+0020.
@@ -104,7 +104,7 @@ def classes() -> np.ndarray:
     return out
 
 
-def boundaries(points: np.ndarray, starts: np.ndarray, block: int = 512) -> np.ndarray:
+def boundaries(points: np.ndarray, starts: np.ndarray, block: int = 128) -> np.ndarray:
     """Where slices begin in ``points``, the code points of all texts in a row; ``starts`` are the places of
     the texts' first code points (of non-empty texts, ascending, the first is 0)."""
     n = len(points)
@@ -266,11 +266,15 @@ class Vocabulary(dict):
         return self.blob[place].tobytes()
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _vocabulary(raw: bytes) -> Vocabulary:
     return Vocabulary(raw)
 
 
+def _forget() -> None:
+    _vocabulary.cache_clear()
+
+
 def _file(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()
@@ -293,8 +297,9 @@ def encode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col
                 names=["id", "token_ids", "byte_offsets"],
             )
 
+    run.clear = _forget
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, token_ids array<int>, byte_offsets array<bigint>")
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, token_ids array<int>, byte_offsets array<bigint>")
     return out.withColumnRenamed("id", id_col)
 
 
@@ -311,7 +316,7 @@ def decode(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id") -> DataF
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([vocabulary.decode(x, vocabulary.offsets(x)) for x in ids], pa.binary())], names=["id", "decoded"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), "token_ids").mapInArrow(run, f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), "token_ids").mapInArrow(tidy(run), f"id {kind}, decoded binary").withColumnRenamed("id", id_col)
 
 
 def digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -338,6 +343,7 @@ def digests(df: DataFrame, vocabulary_path: str, id_col: str = "doc_id", text_co
                 columns.append(pa.array(kept, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"][: len(columns)])
 
+    run.clear = _forget
     kind = df.schema[id_col].dataType.simpleString()
-    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
+    out = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
     return out.withColumnRenamed("id", id_col)

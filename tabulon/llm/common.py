@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import reachable
+from ..session import WRITTEN, drop_stored, drop_written, reachable, scratch, stored  # noqa: F401
 
 #: UTF-8 bytes (of a text column) that a Python worker handles at once.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,43 +18,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return reachable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """The shared folder of the session; a local one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if not folder:
-        folder = sc._jsc.sc().getCheckpointDir()
-        folder = folder.get() if folder.isDefined() else None
-        if not folder:
-            folder = tempfile.mkdtemp(prefix="tabulon-")
-            sc.setCheckpointDir(folder)
-            folder = sc._jsc.sc().getCheckpointDir().get()
-    return folder.rstrip("/")
-
-
 def sent(df: DataFrame, value):
     """``value`` as a broadcast variable for the Python workers that handle ``df``."""
     return reachable(df.sparkSession).sparkContext.broadcast(value)
 
 
-def stored(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """The same rows, written as a table to the shared folder and read again: cuts the lineage, so that
-    a lost executor costs a read and not a recomputation."""
-    spark = reachable(spark or df.sparkSession)
-    path = f"{scratch(spark)}/stored-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
-def drop_stored(df: DataFrame) -> None:
-    """Deletes a table made by :func:`stored` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for path in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if path.rsplit("/", 1)[-1].startswith("stored-"):
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+def tidy(run):
+    """A task's function that gives memory back when the task ends: workers are used again, and what one stage leaves behind would
+    stand beside the next one's. ``run.clear`` (if there is one) empties caches."""
+
+    def whole(batches: Iterator) -> Iterator:
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        try:
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 20)  # arrays of a megabyte and more go back to the system when they are freed
+        except (OSError, AttributeError):  # not this C library
+            libc = None
+        try:
+            yield from run(batches)
+        finally:
+            if (clear := getattr(run, "clear", None)) is not None:
+                clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if libc is not None:
+                libc.malloc_trim(0)
+
+    return whole
 
 
 def chunks(batches: Iterator, column: str, most: int = CHUNK_BYTES) -> Iterator:

@@ -43,15 +43,15 @@ from .common import chunks, sent, stored, tidy
 from .graph import components
 
 #: N-grams (of all documents together) that one region may hold in a task.
-REGION = 1_500_000
+REGION = 1_000_000
 #: Pivots drawn in a cluster that is too large, and rounds of that before tiles.
 PIVOTS, CUTS = 8, 3
 #: An n-gram is common if the tasks met it more than so often in different sets; so many are known as such at most.
 OFTEN, COMMON = 32, 1 << 18
 #: N-grams of all documents for each part of the projections' keys.
-PART = 1_000_000
+PART = 400_000
 #: Rows of projections a task gathers before it ties them.
-GATHER = 1_500_000
+GATHER = 500_000
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reachable
-from .common import chunks, sent
+from .common import chunks, sent, tidy
 
 UNDETERMINED = "und"
 ORDER = 4
@@ -67,8 +67,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     whole = "\n".join(["", *texts]) + "\n"
     symbols = _symbols()[np.frombuffer(whole.encode("utf-32-le", "replace"), dtype=np.uint32)]
     size = np.array([len(t) + 1 for t in texts], dtype=np.int64)
-    doc = np.repeat(np.arange(len(texts)), size)
-    doc = np.append(doc, len(texts) - 1) if len(texts) else doc
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), size)
+    doc = np.append(doc, np.int32(len(texts) - 1)) if len(texts) else doc
     if not len(texts):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     letter = symbols != 0
@@ -79,7 +79,8 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keep[1:] |= letter[:-1]
     symbols, doc, opens = symbols[keep].astype(np.uint64), doc[keep], opens[keep]
     # What stands before the text's own first symbol counts as boundary.
-    place = np.arange(len(symbols)) - np.maximum.accumulate(np.where(opens, np.arange(len(symbols)), 0))
+    count = np.arange(len(symbols), dtype=np.int32)
+    place = count - np.maximum.accumulate(np.where(opens, count, 0))
     packed = symbols.copy()
     for back in (1, 2, 3):
         earlier = np.zeros_like(symbols)
@@ -171,7 +172,7 @@ class Model:
 class Identifier:
     """The models of all languages, and a direct-mapped cache of log probabilities by 4-gram."""
 
-    SLOTS = 1 << 19
+    SLOTS = 1 << 17
 
     def __init__(self, models: dict[str, Model], limits: dict[str, tuple[float, float]]):
         self.langs = sorted(models)
@@ -234,11 +235,11 @@ class Identifier:
 
 
 def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
-    """Models from all rows of ``df`` with a language and a text; the rejection is calibrated on at most
-    ``calibration_rows`` of them, dealt out by a hash of the text."""
+    """Models from all rows of ``df`` with a language and a text; the rejection is calibrated on about
+    ``calibration_rows`` of them, chosen by a hash of the text."""
     reachable(df.sparkSession)
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    counted = rows.mapInArrow(_count, "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(tidy(_count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     found = counted.withColumn("rank", rank).filter(F.col("rank") <= max_grams).groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("grams"))
     models = {}
@@ -250,7 +251,10 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_gra
     plain = Identifier(models, {})
     if not models:
         return plain
-    sample = rows.withColumn("h", F.xxhash64("text")).orderBy("h").limit(calibration_rows)
+    # A share of the rows by hash: no text is sorted or moved, and every task measures its own.
+    n = rows.count()
+    share = min(1.0, calibration_rows / max(1, n))
+    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= int(share * (1 << 30)))
     given = sent(sample, pickle.dumps(plain))
 
     def measure(batches: Iterator) -> Iterator:
@@ -263,12 +267,13 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_gra
             got = [(x, float(e[own.langs.index(x)])) for x, e, n, m in zip(langs, entropy, size, letters) if m >= 200 and x in own.langs]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang", "h"])
 
-    measured = sample.select("lang", "text").mapInArrow(measure, "lang string, h double").groupBy("lang").agg(F.percentile("h", 0.5).alias("mean"), F.percentile("h", 0.9).alias("high"))
+    measure.clear = _loaded.cache_clear
+    measured = sample.select("lang", "text").mapInArrow(tidy(measure), "lang string, h double").groupBy("lang").agg(F.percentile("h", 0.5).alias("mean"), F.percentile("h", 0.9).alias("high"))
     limits = {r.lang: (r.mean, max((r.high - r.mean) / 1.28, 0.02)) for r in measured.collect()}
     return Identifier(models, limits)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _loaded(raw: bytes) -> Identifier:
     return pickle.loads(raw)
 
@@ -289,8 +294,9 @@ def identify(df: DataFrame, identifier: Identifier, id_col: str = "doc_id", text
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names + results)
 
+    run.clear = _loaded.cache_clear
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "lang_pred string, score double, cross_entropy double, rejected boolean"])
-    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("_text")).mapInArrow(tidy(run), schema)
 
 
 __all__ = ["Identifier", "Model", "identify", "train", "UNDETERMINED"]

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reachable
-from .common import chunks
+from .common import chunks, tidy
 
 #: Fixed values of the format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -174,7 +174,7 @@ def store(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Data
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), pa.array([write_png(pad(t)) for t in texts], pa.binary())], names=["id", "n_bytes", "png"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, n_bytes bigint, png binary").withColumnRenamed("id", id_col)
+    return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(tidy(run), f"id {kind}, n_bytes bigint, png binary").withColumnRenamed("id", id_col)
 
 
 FIELDS = "payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, hash binary, error string"
@@ -208,4 +208,4 @@ def features(df: DataFrame, media_col: str = "png") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), *columns], names=[*(f.name for f in kept), *(x.split()[0] for x in FIELDS.split(", "))])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), FIELDS])
-    return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(media_col)).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{f.name}`") for f in kept), F.col(media_col)).mapInArrow(tidy(run), schema)

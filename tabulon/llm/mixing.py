@@ -29,7 +29,7 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Weights of the sources in code point order, repeated.
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-BLOCK, SHARD_BLOCKS, RUN, PART, ROUNDS = 256, 4096, 10_000, 4096, 24
+BLOCK, SHARD_BLOCKS, RUN, PART, ROUNDS = 256, 4096, 2000, 4096, 24
 
 
 def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -143,18 +143,22 @@ def mixed_documents(df: DataFrame, seed: int = 0) -> DataFrame:
     rows = stored(sized(df))
     sources = stored(targets(rows))
     parts = segments(rows, sources, rows.count(), seed)
-    spans = parts.groupBy("id", "source", "size", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("_spans"), F.sum("words").alias("_taken"))
-    # Rows of one id are told apart by their size, and rows equal in both by their rank.
-    spans = spans.withColumn("_rank", F.dense_rank().over(Window.partitionBy("id", "source", "size").orderBy("start")))
+    spans = parts.groupBy("id", "source", "size", "start", "pass").agg(F.array_sort(F.collect_list(F.struct("first", "words"))).alias("spans"), F.sum("words").alias("taken"))
+    # Rows of equal id, source and size take their passes in turn. Nulls become part of plain keys, and the texts are ranked
+    # and joined by the same keys, so that they are shuffled once.
+    keys = {"_k_id": F.coalesce(F.col("id").cast("string"), F.lit("")), "_k_source": F.coalesce(F.col("source"), F.lit("")), "_k_null": F.col("id").isNull().cast("int") + 2 * F.col("source").isNull().cast("int"), "_k_size": F.col("size")}
+    names = list(keys)
+    each = spans.withColumns(keys).groupBy(*names, "start").agg(F.collect_list(F.struct("pass", "spans", "taken")).alias("passes"))
+    turns = each.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("start", "passes"))).alias("_turns"))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    own = df.withColumn("_size", words).withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
-    key = spans.select(F.col("id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_n"), F.col("_rank").alias("_r"), "_spans", "_taken")
-    on = own["doc_id"].eqNullSafe(key["_id"]) & own["source"].eqNullSafe(key["_source"]) & (own["_size"] == key["_n"]) & (own["_rank"] == key["_r"])
-    got = own.join(key, on)
+    own = {"_k_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_k_source": F.coalesce(F.col("source"), F.lit("")), "_k_null": F.col("doc_id").isNull().cast("int") + 2 * F.col("source").isNull().cast("int"), "_k_size": words}
+    rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text")))
+    got = df.withColumns(own).withColumn("_rank", rank).join(turns.hint("merge"), names).withColumn("_turn", F.get("_turns", F.col("_rank") - 1))
+    got = got.withColumn("_pass", F.explode("_turn.passes")).withColumns({"_spans": F.col("_pass.spans"), "_taken": F.col("_pass.taken")})
     # The words are a lambda's argument, so that they are listed once and not for every span.
     listed = F.array(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
     text = F.transform(listed, lambda ws: F.array_join(F.flatten(F.transform("_spans", lambda s: F.slice(ws, (s["first"] + 1).cast("int"), s["words"].cast("int")))), " "))[0]
-    text = F.when(F.col("_taken") == F.col("_size"), F.col("text")).otherwise(text)
+    text = F.when(F.col("_taken") == F.col("_k_size"), F.col("text")).otherwise(text)
     got = got.withColumn("text", text)
     if "n_chars" in df.columns:
         got = got.withColumn("n_chars", F.length("text").cast(df.schema["n_chars"].dataType))

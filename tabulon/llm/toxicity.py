@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reachable
-from .common import chunks, sent, stored
+from .common import chunks, sent, stored, tidy
 
 #: Common insults of English, German, French and Spanish, the lexicon voters.
 LEXICON = [
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         for a in range(0, len(names), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(names[a : a + 20_000], pa.string()), *(pa.array(g[a : a + 20_000], pa.int64()) for g in got)], names=["token", "neg", "pos"])
 
-    summed = stored(rows.select("text", "y").mapInArrow(mine, "token string, neg bigint, pos bigint").groupBy("token").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
+    summed = stored(rows.select("text", "y").mapInArrow(tidy(mine), "token string, neg bigint, pos bigint").groupBy("token").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos")))
     # The candidates for voters and features: those of the largest absolute log-odds in units of their error.
     total = summed.filter("token = ''")
     edge = summed.filter((F.col("token") == "") | F.col("token").isin(LEXICON) | (F.col("pos") + F.col("neg") >= SUPPORT))
@@ -201,7 +201,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "found"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(index, f"id {kind}, y int, found binary").collect()
+    got = rows.mapInArrow(tidy(index), f"id {kind}, y int, found binary").collect()
     got.sort(key=lambda r: (r.id, r.y))
     y = np.array([r.y for r in got], dtype=np.float64)
     found = [np.frombuffer(r.found, dtype=np.int32) for r in got]
@@ -237,7 +237,7 @@ def _calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def _loaded(raw: bytes) -> Scorer:
     import pickle
 
@@ -259,5 +259,6 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str =
             values = [own.score(t) for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(values, pa.float64())], names=[*names, "score"])
 
+    run.clear = _loaded.cache_clear
     schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "score double"])
-    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("_text")).mapInArrow(run, schema)
+    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("_text")).mapInArrow(tidy(run), schema)
