@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, jaccard, langid, mixing, toxicity
-from tabulon.llm.common import crc_of_id, stored, table
+from tabulon.llm.common import WRITTEN, crc_of_id, drop_written, stored, table
 from tabulon.llm.queries import TOXIC, vocabulary_path
 
 
@@ -57,5 +57,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
+        since = len(WRITTEN)
         docs = stored(stage(spark, docs, sf_dir), spark)
+        drop_written(spark, since)
     return STAGES[-1][1](spark, docs, sf_dir)
