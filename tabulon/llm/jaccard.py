@@ -46,8 +46,8 @@ from .graph import components
 REGION = 1_000_000
 #: Pivots drawn in a cluster that is too large, and rounds of that before tiles.
 PIVOTS, CUTS = 8, 3
-#: An n-gram is common if the tasks met it more than so often in different sets; so many are known as such at most.
-OFTEN, COMMON = 32, 1 << 18
+#: An n-gram is common if tasks that met it in several different sets did so more than so often; so many are known as such at most.
+OFTEN, COMMON = 1, 1 << 21
 #: N-grams of all documents for each part of the projections' keys.
 PART = 400_000
 #: Rows of projections a task gathers before it ties them.
@@ -243,8 +243,8 @@ def common_grams(info: DataFrame) -> np.ndarray:
     """The n-grams that many different sets hold, sorted: those met most often, COMMON at most. The choice decides how
     well the projections tell documents apart, not what is found."""
     counted = info.filter("gram is not null").groupBy("gram").agg(F.sum("seen").alias("seen")).filter(F.col("seen") > OFTEN)
-    got = counted.orderBy(F.desc("seen"), "gram").limit(COMMON).select("gram").collect()
-    return np.sort(np.array([r.gram for r in got], dtype=np.int64).view(np.uint64))
+    got = counted.orderBy(F.desc("seen"), "gram").limit(COMMON).select("gram").toArrow()
+    return np.sort(got.column("gram").to_numpy().astype(np.int64).view(np.uint64))
 
 
 def _tied(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
