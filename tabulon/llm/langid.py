@@ -2,8 +2,8 @@
 
 Texts are lower-cased; a run of anything but letters is one boundary symbol. All training rows are counted:
 every task counts the 4-grams of its rows, the sums are merged by key, and the lower orders follow from the
-distinct 4-grams (continuation counts). A model keeps at most ``max_grams`` 4-grams, the most frequent ones,
-so its size is bounded. Probabilities and back-off weights lie in arrays sorted by a 64-bit hash of the n-gram.
+distinct 4-grams (continuation counts). A model keeps all 4-grams, so it grows with the distinct 4-grams of its
+language. Probabilities and back-off weights lie in arrays sorted by a 64-bit hash of the n-gram.
 A text gets the language of the lowest cross-entropy for each symbol. Its score is the posterior of that
 language; ``rejected`` marks texts whose cross-entropy lies far above what training rows of that language show,
 and texts without a letter.
@@ -21,7 +21,7 @@ import sys
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reachable
@@ -29,8 +29,6 @@ from .common import chunks, sent, tidy
 
 UNDETERMINED = "und"
 ORDER = 4
-#: 4-grams kept for a language.
-MAX_GRAMS = 1 << 17
 #: Symbols of a text after which more evidence no longer sharpens the score.
 EVIDENCE = 100
 #: A text is rejected if its cross-entropy exceeds the mean of its language by this many deviations and ...
@@ -117,6 +115,18 @@ def _count(batches: Iterator) -> Iterator:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(k), pa.string()), pa.array(k.view(np.int64)), pa.array(counts[a : a + 50_000])], names=["lang", "gram", "n"])
 
 
+def _packed(batches: Iterator) -> Iterator:
+    """Rows (lang, gram, count) as rows (lang, grams, counts) of a batch's arrays, which the driver reads without a Python object for each."""
+    import pyarrow as pa
+
+    for batch in batches:
+        langs = np.array(batch.column("lang").to_pylist(), dtype=object)
+        keys, counts = batch.column("gram").to_numpy(), batch.column("n").to_numpy()
+        names = sorted(set(langs))
+        at = [np.flatnonzero(langs == x) for x in names]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([keys[a].tobytes() for a in at], pa.binary()), pa.array([counts[a].tobytes() for a in at], pa.binary())], names=["lang", "grams", "counts"])
+
+
 def _lower(keys: np.ndarray, order: int) -> np.ndarray:
     """The last ``order`` symbols of packed n-grams."""
     return keys & np.uint64((1 << (16 * order)) - 1)
@@ -234,20 +244,20 @@ class Identifier:
         return out
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_grams: int = MAX_GRAMS, calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
     """Models from all rows of ``df`` with a language and a text; the rejection is calibrated on about
     ``calibration_rows`` of them, chosen by a hash of the text."""
     reachable(df.sparkSession)
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     counted = rows.mapInArrow(tidy(_count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    found = counted.withColumn("rank", rank).filter(F.col("rank") <= max_grams).groupBy("lang").agg(F.collect_list(F.struct("gram", "n")).alias("grams"))
+    held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+    for r in counted.mapInArrow(tidy(_packed), "lang string, grams binary, counts binary").toLocalIterator(prefetchPartitions=True):
+        held.setdefault(r.lang, []).append((np.frombuffer(r.grams, np.uint64), np.frombuffer(r.counts, np.int64)))
     models = {}
-    for lang, pairs in found.toLocalIterator():
-        if pairs:
-            keys = np.array([p[0] for p in pairs], dtype=np.int64).view(np.uint64)
-            order = np.argsort(keys)
-            models[lang] = Model(keys[order], np.array([p[1] for p in pairs])[order])
+    for lang in sorted(held):
+        keys, counts = (np.concatenate(x) for x in zip(*held.pop(lang)))
+        order = np.argsort(keys)
+        models[lang] = Model(keys[order], counts[order])
     plain = Identifier(models, {})
     if not models:
         return plain

@@ -60,6 +60,20 @@ def test_language_of_held_out_rows(corpus, odd, empty):
     assert set(langid.identify(odd, model, keep=odd.columns).columns) == {*odd.columns, "lang_pred", "score", "cross_entropy", "rejected"}
 
 
+def test_models_keep_all_grams(spark):
+    """More distinct 4-grams than the 131,072 that models once kept: every one counts, and so do the statistics of lower orders."""
+    rng = np.random.default_rng(3)
+    letters = np.array([chr(c) for c in range(0x4E00, 0x4E00 + 400)])
+    texts = ["".join(letters[rng.integers(0, 400, 2500)]) + "." for _ in range(80)]
+    values, counts = np.unique(langid.grams(texts)[0], return_counts=True)
+    assert len(values) > 1 << 17
+    got = langid.train(spark.createDataFrame([(t, "zz") for t in texts] + [("the fox", "en")], "text string, lang string"))
+    assert got.langs == ["en", "zz"]
+    want = langid.Model(values, counts)
+    for a, b in zip(got.models["zz"].grams + got.models["zz"].backoff, want.grams + want.backoff):
+        assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
+
+
 def test_cache_collisions():
     class Small(langid.Identifier):
         SLOTS = 8
