@@ -6,7 +6,8 @@ distinct 4-grams (continuation counts). A model keeps all 4-grams, so it grows w
 language. Probabilities and back-off weights lie in arrays sorted by a 64-bit hash of the n-gram.
 A text gets the language of the lowest cross-entropy for each symbol. Its score is the posterior of that
 language; ``rejected`` marks texts whose cross-entropy lies far above what training rows of that language show,
-and texts without a letter.
+and texts without a letter. What they show is measured on all of them: a histogram of the distinct texts with a letter, of any
+length, for each language.
 
 Null texts, empty texts and texts without a letter: language ``und``, score 0, rejected. Null languages are not
 learned from; without any training row all texts get ``und``. Ties go to the first language in code point order. Rows are
@@ -35,8 +36,8 @@ EVIDENCE = 100
 DEVIATIONS = 8.0
 #: ... by this many nats.
 NATS = 1.0
-#: Training rows whose cross-entropy calibrates the rejection.
-CALIBRATION_ROWS = 2000
+#: Bins of a nat in the histograms of cross-entropy that calibrate the rejection.
+BINS = 1024
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -225,6 +226,13 @@ class Identifier:
         size = np.bincount(doc, minlength=len(texts))
         return -total / np.maximum(size, 1)[:, None], size, letters
 
+    def given(self, texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(cross-entropy of each text in its given language, letters)."""
+        keys, doc, letters = grams(texts)
+        own = np.searchsorted(self.langs, langs)
+        logs = self.logs(keys)[np.arange(len(keys)), own[doc]]
+        return -np.bincount(doc, weights=logs, minlength=len(texts)) / np.maximum(np.bincount(doc, minlength=len(texts)), 1), letters
+
     def identify(self, texts: list[str]) -> list[tuple[str, float, float | None, bool]]:
         """(language, score, cross-entropy, rejected) of each text."""
         if not self.langs:
@@ -244,9 +252,9 @@ class Identifier:
         return out
 
 
-def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", calibration_rows: int = CALIBRATION_ROWS) -> Identifier:
-    """Models from all rows of ``df`` with a language and a text; the rejection is calibrated on about
-    ``calibration_rows`` of them, chosen by a hash of the text."""
+def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text") -> Identifier:
+    """Models from all rows of ``df`` with a language and a text; the rejection is calibrated on the same rows, each
+    distinct text of a language once."""
     reachable(df.sparkSession)
     rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
     counted = rows.mapInArrow(tidy(_count), "lang string, gram bigint, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -261,25 +269,23 @@ def train(df: DataFrame, lang_col: str = "lang", text_col: str = "text", calibra
     plain = Identifier(models, {})
     if not models:
         return plain
-    # A share of the rows by hash: no text is sorted or moved, and every task measures its own.
-    n = rows.count()
-    share = min(1.0, calibration_rows / max(1, n))
-    sample = rows.filter(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) <= int(share * (1 << 30)))
-    given = sent(sample, pickle.dumps(plain))
+    given = sent(rows, pickle.dumps(plain))
 
     def measure(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = _loaded(given.value)
         for batch in chunks(batches, "text"):
-            langs = batch.column("lang").to_pylist()
-            entropy, size, letters = own.entropies(batch.column("text").to_pylist())
-            got = [(x, float(e[own.langs.index(x)])) for x, e, n, m in zip(langs, entropy, size, letters) if m >= 200 and x in own.langs]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang", "h"])
+            h, letters = own.given(batch.column("text").to_pylist(), batch.column("lang").to_pylist())
+            some = pa.array(letters > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("lang").filter(some), batch.column("key").filter(some), pa.array(h).filter(some)], names=["lang", "key", "h"])
 
     measure.clear = _loaded.cache_clear
-    measured = sample.select("lang", "text").mapInArrow(tidy(measure), "lang string, h double").groupBy("lang").agg(F.percentile("h", 0.5).alias("mean"), F.percentile("h", 0.9).alias("high"))
-    limits = {r.lang: (r.mean, max((r.high - r.mean) / 1.28, 0.02)) for r in measured.collect()}
+    # Texts are told apart by a hash, so that none is moved; a language then has as many rows as bins.
+    measured = rows.withColumn("key", F.xxhash64("text")).mapInArrow(tidy(measure), "lang string, key bigint, h double").groupBy("lang", "key").agg(F.min("h").alias("h"))
+    bins = measured.groupBy("lang", F.round(F.col("h") * BINS).alias("bin")).agg(F.count("h").alias("n"))
+    shown = bins.groupBy("lang").agg(*(F.percentile("bin", q, F.col("n")).alias(name) for q, name in ((0.5, "mean"), (0.9, "high"))))
+    limits = {r.lang: (r.mean / BINS, max((r.high - r.mean) / BINS / 1.28, 0.02)) for r in shown.collect()}
     return Identifier(models, limits)
 
 

@@ -74,6 +74,19 @@ def test_models_keep_all_grams(spark):
         assert np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1])
 
 
+def test_limits_from_all_rows(spark):
+    """A rare language of short texts has a limit in a large table too, and copies of a text count once."""
+    rng = np.random.default_rng(5)
+    words = ["the", "ring", "wood", "light", "house", "river", "stone", "walk", "and", "thing"]
+    texts = {"en": [" ".join(rng.choice(words, rng.integers(3, 60))) + "." for _ in range(400)], "zz": ["qax vuq xaq.", "vuq qax.", "xaq xaq vuq."]}
+    rows = [(t, x) for x, ts in texts.items() for t in ts] + [(texts["en"][0], "en")] * 3000 + [("12 3", "en"), ("", "zz")]
+    model = langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert sorted(model.limits) == ["en", "zz"]
+    for i, lang in enumerate(model.langs):
+        middle, high = np.percentile(model.entropies(sorted(set(texts[lang])))[0][:, i], [50, 90])
+        assert model.limits[lang] == pytest.approx((middle, max((high - middle) / 1.28, 0.02)), abs=2 / langid.BINS)
+
+
 def test_cache_collisions():
     class Small(langid.Identifier):
         SLOTS = 8
