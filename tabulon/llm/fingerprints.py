@@ -1,6 +1,7 @@
 """Document fingerprints from closed syncmers, as DataFrame expressions only.
 
-A text is read as units: runs of at most UNIT characters without white space. Every unit has a 64-bit hash, and every
+A text is read as units: runs of at most UNIT characters without white space, and of longer runs the UNIT characters at every
+offset, so that units depend on nothing but their own run's characters nearby. Every unit has a 64-bit hash, and every
 pair of neighbouring units one made from theirs. A k-mer of K units is an anchor if the smallest of its K - 1 pair hashes is
 its first or its last: that depends on the k-mer alone, so an edit changes anchors only where it touches them. A text of
 fewer than K units has one anchor, made from all of them.
@@ -26,8 +27,12 @@ RUN = 256
 SMALL = 100_000
 
 
+#: Matches nothing at each unit's start, with the unit as group 1; not between the halves of a code point.
+_STARTS = "(?![\\uDC00-\\uDFFF])(?=((?<!\\S)\\S{1,%d}(?!\\S)|\\S{%d}))" % (UNIT - 1, UNIT)
+
+
 def _units(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit("\\S{1,%d}" % UNIT), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(_STARTS), F.lit(1))
 
 
 def anchors(df: DataFrame, text: Column, into: str) -> DataFrame:

@@ -145,6 +145,27 @@ def test_syncmers_are_context_free(spark):
     assert len(got[3].a) == 1 and not got[4].a
 
 
+def test_units_at_every_offset(spark):
+    texts = ["ab cd", "abcdefgh abcdefghi", "x" * 7 + "\U0001f600\U0001f601yz", "  a\tb\u3000c \U0001f600 ", "", " "]
+    got = [r.u for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", fingerprints._units(F.col("t")).alias("u")).orderBy("i").collect()]
+    n = fingerprints.UNIT
+    assert got == [[r[i : i + n] for r in re.findall(r"\S+", t, re.ASCII) for i in range(max(1, len(r) - n + 1))] for t in texts]
+
+
+def test_insertion_in_unspaced_text(spark):
+    rng = np.random.default_rng(11)
+    text = "".join(chr(c) for c in rng.integers(0x4E00, 0x9000, 3000))
+    rows = [("same", text), ("front", "x" + text), ("middle", text[:1500] + "x" + text[1500:]), ("passage", "y" * 13 + text[1001:])]
+    df = spark.createDataFrame(rows, "name string, t string")
+    got = {r.name: {a.hash for a in r.a} for r in fingerprints.anchors(df, F.col("t"), "a").collect()}
+    assert got["same"] <= got["front"]
+    assert len(got["same"] & got["middle"]) > 0.98 * len(got["same"])
+    assert len(got["same"] & got["passage"]) > 0.6 * len(got["same"])
+    sketch = fingerprints.sketches(df, F.col("t"), "s")
+    near = {r.name: r.near for r in sketch.crossJoin(sketch.filter("name = 'same'").select(F.col("s").alias("o"))).select("name", fingerprints.likeness(F.col("s"), F.col("o")).alias("near")).collect()}
+    assert near["front"] > 0.95 and near["middle"] > 0.9 and near["passage"] > 0.4
+
+
 def test_fingerprints(spark, odd, empty, corpus):
     for df in (odd, corpus):
         rows = df.collect()
