@@ -28,11 +28,14 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group at 80 % of the 5-word shingles, and one row of each id. Rows without an id stay."""
-    found = stored(jaccard.groups(docs, n=5, percent=80))
-    firsts = found.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi")
-    one = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
+    """Keeps the smallest id of each group at 80 % of the 5-word shingles, and of rows with equal id and text one. An id's different
+    texts are documents of their own. Rows without an id stay."""
+    keyed = docs.filter("doc_id is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
+    found = stored(jaccard.groups(keyed, n=5, percent=80, id_col="_key")).select("_key", "component_id").distinct()
+    named = found.join(keyed.select("doc_id", "_key").distinct(), "_key")
+    firsts = stored(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key")).select("_key"))
+    kept = keyed.join(firsts, "_key", "left_semi")
+    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))
     kept = kept.withColumn("_one", one).filter("_one = 1").select(*docs.columns)
     return kept.unionByName(docs.filter("doc_id is null"))
 

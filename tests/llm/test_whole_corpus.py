@@ -258,3 +258,14 @@ def test_pipeline_stages_take_odd_rows(spark, pipeline_folder, odd, empty):
                 assert out.columns == df.columns
     kept = corpus_pipeline.near_duplicates(spark, odd, pipeline_folder)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, 9, None, None]))
+
+
+def test_repeated_ids_with_different_texts(spark):
+    """Only copies go: a text that links with nothing stays, whatever other text has its id."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    words = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
+    text = [" ".join(words[i : i + 20]) for i in range(0, 100, 20)]
+    rows = [(1, text[0]), (2, text[0]), (2, text[1]), (2, text[1]), (3, text[2]), (3, text[3]), (4, text[3]), (5, text[1]), (5, None), (None, text[0])]
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "").collect()
+    want = [(1, text[0]), (2, text[1]), (3, text[2]), (3, text[3]), (5, None), (None, text[0])]
+    assert sorted(map(str, (tuple(r) for r in kept))) == sorted(map(str, want))
