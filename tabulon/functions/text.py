@@ -1,7 +1,7 @@
 """Text, number and date functions as column expressions.
 
 Only two things need Python, because Spark has no built-in for them: compatibility normalisation of Unicode
-(:func:`nfkc`) and the Ratcliff-Obershelp ratio (:func:`ratio`); both are Arrow UDFs. The others expect text that went through
+(:func:`nfkc`, :func:`nfkc_all`) and the Ratcliff-Obershelp ratio (:func:`ratio`); both are Arrow UDFs. The others expect text that went through
 :func:`clean` once, so that a plan calls Python once for each source column. Blank text is ``""``, never null.
 """
 
@@ -13,7 +13,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 #: Characters between which white space is dropped.
 JAPANESE = "一-龯々ぁ-ゖァ-ヺー"
@@ -62,6 +62,13 @@ def nfkc(values: pd.Series) -> pd.Series:
     return values.map(lambda v: "" if v is None else v if v.isascii() else unicodedata.normalize("NFKC", v))
 
 
+@F.pandas_udf(ArrayType(StringType()))
+def nfkc_all(values: pd.Series) -> pd.Series:
+    """Compatibility normalisation of arrays; null elements become blank, a null array an empty one."""
+    form = lambda v: "" if v is None else v if v.isascii() else unicodedata.normalize("NFKC", v)
+    return values.map(lambda a: [] if a is None else [form(v) for v in a])
+
+
 @F.pandas_udf(DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp ratio; the order of the arguments matters."""

@@ -6,13 +6,13 @@ width, height>>>>).
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import reachable
 from . import grids as G
+from .sheets import carry_down
 
 #: Repairs of common misreadings, applied in order.
 REPAIRS = [
@@ -131,47 +131,58 @@ def column_roles(rows: DataFrame) -> DataFrame:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """Records (as of :mod:`grids`) of scanned tables (doc_id, page, row, cells)."""
+    """Records (as of :mod:`grids`) of scanned tables (doc_id, page, row, cells).
+
+    Levels are carried down over runs of neighbouring pages. A row of nothing but a specification belongs to the record of the row just above it;
+    below a row without a record, and below a row that was taken in that way, it is a record of its own. So in a series of such rows every second
+    one is taken, counted from the last row whose record doesn't depend on the series."""
     reachable(rows.sparkSession)
-    placed = rows.join(column_roles(rows), ["doc_id", "page"]).filter("row > header_row")
-    value = lambda r: F.coalesce(repaired(T.label(T.clean(F.get(F.col("cells"), F.coalesce(F.try_element_at("columns", F.lit(r)), F.lit(-1)))))), F.lit(""))
+    placed = rows.withColumn("_t", F.transform(T.nfkc_all(F.col("cells")), lambda x: T.label(T.squeeze(x))))
+    placed = placed.join(column_roles(rows), ["doc_id", "page"]).filter("row > header_row")
+    value = lambda r: F.coalesce(repaired(F.get("_t", F.coalesce(F.try_element_at("columns", F.lit(r)), F.lit(-1)))), F.lit(""))
     table = placed.select("doc_id", "page", "row", *(value(r).alias(r) for r in ROLES)).withColumn("number", T.scanned_quantity(F.col("quantity")))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, now, before = [], {}, None
-        texts = [r for r in ROLES if r != "quantity"]
-        for page, rows in pdf.sort_values(["page", "row"]).groupby("page", sort=True):
-            if before is not None and page not in (before, before + 1):
-                now = {}
-            before, last = page, None
-            for r in rows.to_dict("records"):
-                number = None if pd.isna(r["number"]) else float(r["number"])
-                given = {k: r[k] for k in texts if r[k]}
-                if given.keys() == {"specification"} and number is None and last is not None and last["source_row"] == r["row"]:
-                    last["specification"] = G.note(last["specification"], r["specification"])
-                    last["extraction_warnings"].append(G.JOINED_WARNING)
-                    continue
-                if (not given and number is None) or G.total(*given.values()):
-                    continue
-                if "work_type" in given:
-                    now |= {"category": "", "item_name": ""}
-                if "category" in given:
-                    now["item_name"] = ""
-                now |= {k: v for k, v in given.items() if k in ("section", "work_type", "category", "item_name", "unit")}
-                inherits = "item_name" not in given and ("specification" in given or number is not None)
-                item, unit = now.get("item_name", ""), r["unit"] or (now.get("unit", "") if inherits else "")
-                if not item or (number is None and not unit):
-                    continue
-                warnings = [SCAN_WARNING, *[NO_QUANTITY] * (number is None), *[NO_UNIT] * (not unit)]
-                last = {
-                    "doc_id": r["doc_id"], "source_sheet": f"PDF p.{page}", "source_page": int(page), "source_row": int(r["row"]) + 1, "section": now.get("section", "本工事費"), "work_type": now.get("work_type", ""),
-                    "category": now.get("category", ""), "item_name": item, "specification": r["specification"], "unit": unit, "quantity": number, "remarks": r["remarks"], "source_reference": f"PDF p.{page}",
-                    "extraction_status": "OCR_REVIEW_REQUIRED", "extraction_confidence": 0.7 if number is not None and unit else 0.45, "extraction_warnings": warnings,
-                }
-                out.append(last)
-        return pd.DataFrame(out, columns=[x.split()[0] for x in G.RECORD.split(", ")])
-
-    return table.groupBy("doc_id").applyInPandas(run, G.RECORD)
+    pages = Window.partitionBy("doc_id").orderBy("page", "row")
+    apart = F.coalesce(F.col("page") - F.lag("page").over(pages) > 1, F.lit(True))
+    table = table.withColumn("_run", F.sum(apart.cast("int")).over(pages))
+    texts = [r for r in ROLES if r != "quantity"]
+    other = G.any_of(F.col(r) != "" for r in texts if r != "specification")
+    counts = F.col("number").isNotNull()
+    lone = (F.col("specification") != "") & ~other & ~counts
+    total = T.is_total(*(F.col(r) for r in texts))
+    live = ~total & (other | counts | (F.col("specification") != ""))
+    levels = ["section", "work_type", "category", "item_name", "unit"]
+    # Total rows pass nothing on.
+    table = table.withColumns({"_lone": lone, "_total": total, "_live": live} | {f"_{c}": F.when(live, F.col(c)).otherwise("") for c in levels})
+    order, by = ["page", "row"], ["doc_id", "_run"]
+    table = carry_down(table, order, by, ["_work_type", "_category", "_item_name"])
+    table = carry_down(table, order, by, ["_section", "_unit"], resets=False)
+    inherits = (F.col("item_name") == "") & ((F.col("specification") != "") | counts)
+    unit = F.when(F.col("unit") != "", F.col("unit")).otherwise(F.when(inherits, F.col("f__unit")).otherwise(""))
+    table = table.withColumns({"_own": F.col("unit"), "unit": unit})
+    whole = F.col("_live") & (F.col("f__item_name") != "") & (counts | (F.col("unit") != ""))
+    page = Window.partitionBy("doc_id", "page").orderBy("row")
+    # A row that settles the question for those below: whether it has a record is known without them.
+    settled = F.when(~F.col("_lone") | F.col("_total"), F.struct("row", whole.alias("has")))
+    first = F.when(F.col("row") - F.lag("row", 1, -2).over(page) != 1, F.struct((F.col("row") - 1).alias("row"), F.lit(False).alias("has")))
+    table = table.withColumns({"_whole": whole, "_settled": F.coalesce(settled, first)})
+    table = table.withColumn("_since", F.last("_settled", ignorenulls=True).over(page))
+    odd = (F.col("row") - F.col("_since.row")) % 2 == 1
+    table = table.withColumns({
+        "_has": F.when(F.col("_lone"), F.col("_whole") & (F.col("_since.has") != odd)).otherwise(F.col("_whole")),
+        "_next": F.when(F.lead("_lone").over(page) & (F.lead("row").over(page) == F.col("row") + 1), F.lead("specification").over(page)),
+    })
+    found = table.filter("_has")
+    place = F.concat(F.lit("PDF p."), F.col("page").cast("string"))
+    warnings = F.array_compact(F.array(
+        F.lit(SCAN_WARNING), F.when(~counts, F.lit(NO_QUANTITY)), F.when(F.col("unit") == "", F.lit(NO_UNIT)), F.when(F.col("_next").isNotNull(), F.lit(G.JOINED_WARNING)),
+    ))
+    return found.select(
+        "doc_id", place.alias("source_sheet"), F.col("page").cast("int").alias("source_page"), (F.col("row") + 1).cast("int").alias("source_row"),
+        F.when(F.col("f__section") != "", F.col("f__section")).otherwise(G.NO_SECTION).alias("section"), F.col("f__work_type").alias("work_type"), F.col("f__category").alias("category"),
+        F.col("f__item_name").alias("item_name"), T.note(F.col("specification"), F.coalesce("_next", F.lit(""))).alias("specification"), "unit", F.col("number").alias("quantity"), "remarks",
+        place.alias("source_reference"), F.lit("OCR_REVIEW_REQUIRED").alias("extraction_status"), F.when(counts & (F.col("unit") != ""), 0.7).otherwise(0.45).alias("extraction_confidence"),
+        warnings.alias("extraction_warnings"),
+    )
 
 
 def unit_glyphs(matches: DataFrame) -> DataFrame:
