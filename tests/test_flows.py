@@ -1,6 +1,8 @@
 """Workbooks, catalogs, conversion, reconciliation and the stream, end to end on small files."""
 
+import io
 import json
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
@@ -27,6 +29,56 @@ def test_workbook_round_trip(spark, tmp_path):
     assert rows == {("x", 2, 3): ("s", "あ & <b>", None, 2, 28), ("x", 1, 28): ("n", None, 1.5, 2, 28), ("y", 1, 1): ("n", None, 7.0, 1, 1)}
 
 
+def packed(parts):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in parts.items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def unpacked(raw):
+    with zipfile.ZipFile(io.BytesIO(raw)) as z:
+        return {n: z.read(n).decode() for n in z.namelist()}
+
+
+MAIN_NS = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+
+
+def test_phonetic_text_is_not_content(spark, tmp_path):
+    """Shared and inline strings with reading aids and with formatted runs."""
+    parts = unpacked(workbooks.workbook_bytes({"a&b <x>": [(1, 1, "x", None)]}))
+    parts["xl/sharedStrings.xml"] = f"""<sst {MAIN_NS}><si><t>工種</t><rPh sb="0" eb="2"><t>コウシュ</t></rPh><phoneticPr fontId="1"/></si>
+      <si><r><t>数</t></r><r><rPr><b/></rPr><t xml:space="preserve">量 </t></r><rPh sb="0" eb="1"><t>スウ</t></rPh></si><si/></sst>"""
+    rows = '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="C1" t="inlineStr"><is><t>単位</t><rPh sb="0" eb="2"><t>タンイ</t></rPh></is></c><c r="D1" t="s"><v>2</v></c></row>'
+    parts["xl/worksheets/sheet1.xml"] = f"<worksheet {MAIN_NS}><sheetData>{rows}</sheetData></worksheet>"
+    (tmp_path / "p.xlsx").write_bytes(packed(parts))
+    got = [(r.sheet, r.str_val) for r in workbooks.workbook_cells(spark, str(tmp_path / "p.xlsx")).orderBy("col").collect()]
+    assert got == [("a&b <x>", "工種"), ("a&b <x>", "数量 "), ("a&b <x>", "単位"), ("a&b <x>", "")]
+
+
+def test_template_is_edited_in_place():
+    parts = unpacked(workbooks.workbook_bytes({n: [(1, 1, "old", None)] for n in ("cover", "main", "rest")}))
+    styled = '<row r="2" spans="1:3" ht="30" customHeight="1"><c r="A2" s="4" t="str"><v>gone</v></c><c r="B2" s="5"><v>1</v></c><c r="C2"><f>A2*2</f><v>2</v></c></row><row r="40"><c r="A40" s="9"/></row>'
+    sheet = f"""<worksheet {MAIN_NS}><cols><col min="1" max="3" width="17"/></cols><sheetData>{styled}</sheetData><mergeCells count="1"><mergeCell ref="A2:B2"/></mergeCells><pageMargins left="1"/></worksheet>"""
+    parts["xl/worksheets/sheet2.xml"] = sheet
+    formula = '<c r="B1"><f>main!A2</f><v>9</v></c>'
+    parts["xl/worksheets/sheet1.xml"] = parts["xl/worksheets/sheet1.xml"].replace("</row>", formula + "</row>")
+    parts["xl/styles.xml"] = f"<styleSheet {MAIN_NS}/>"
+    parts["xl/calcChain.xml"] = f"<calcChain {MAIN_NS}/>"
+    parts["[Content_Types].xml"] = parts["[Content_Types].xml"].replace("</Types>", '<Override PartName="/xl/calcChain.xml" ContentType="x"/></Types>')
+    depth = []
+    raw = workbooks.filled_template(packed(parts), [("main", 2, 1, "new <&", None), ("main", 3, 2, None, 5.0), ("cover", 1, 1, "me", None)], ["cover", "main"], "cover", "main", lambda n: depth.append(n) or n)
+    got = unpacked(raw)
+    assert depth == [40]
+    kept = '<row r="2" ht="30" customHeight="1"><c r="A2" s="4" t="inlineStr"><is><t xml:space="preserve">new &lt;&amp;</t></is></c><c r="B2" s="5"><v>1</v></c></row>'
+    body = f'<sheetData>{kept}<row r="3"><c r="B3"><v>5</v></c></row><row r="40"><c r="A40" s="9"/></row></sheetData>'
+    assert got["xl/worksheets/sheet2.xml"] == sheet.replace(f"<sheetData>{styled}</sheetData>", body)
+    assert got["xl/worksheets/sheet3.xml"] == parts["xl/worksheets/sheet3.xml"] and got["xl/styles.xml"] == parts["xl/styles.xml"]
+    assert formula in got["xl/worksheets/sheet1.xml"] and "old" not in got["xl/worksheets/sheet1.xml"]
+    assert "xl/calcChain.xml" not in got and "calcChain" not in got["[Content_Types].xml"] and 'fullCalcOnLoad="1"' in got["xl/workbook.xml"]
+
+
 def test_catalog(spark, tmp_path):
     book(tmp_path / "a.xlsx", {C.SHEET: DEEP})
     book(tmp_path / "b.xlsx", {C.SHEET: DETAIL, "other": [(1, 1, "x", None)]})
