@@ -51,6 +51,14 @@ def tidy(run):
     return whole
 
 
+def unused(name: str, taken) -> str:
+    """``name``, with underscores in front until it isn't one of ``taken`` (in any case of letters)."""
+    low = {x.lower() for x in taken}
+    while name.lower() in low:
+        name = "_" + name
+    return name
+
+
 def chunks(batches: Iterator, column: str, most: int = CHUNK_BYTES) -> Iterator:
     """Record batches cut so that ``column`` holds about ``most`` bytes in each, one row at least."""
     import numpy as np

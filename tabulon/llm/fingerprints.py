@@ -6,11 +6,12 @@ pair of neighbouring units one made from theirs. A k-mer of K units is an anchor
 its first or its last: that depends on the k-mer alone, so an edit changes anchors only where it touches them. A text of
 fewer than K units has one anchor, made from all of them.
 
-The fingerprint is the MOST smallest anchor hashes; the likeness of two fingerprints is the share of common
-hashes among the MOST smallest of both, an estimate of the Jaccard similarity that is exact for up to MOST anchors.
-Anchors keep their position (the unit's number) for positional matching.
+Two texts are matched by all their anchors: their likeness is the Jaccard similarity of the sets of anchor hashes, exact and without a
+cap, and ``placed`` counts the anchors that stand at the same place (unit number) in both. The fingerprint as text is a
+short form, the MOST smallest anchor hashes; equal texts have equal ones.
 
 Null and empty texts, and texts of white space, have no anchor, an empty fingerprint, and likeness 1 to one another and 0 to all else.
+Repeated ids follow each other in an order by the text's hash; rows with a null id have no neighbour, so an empty one.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 UNIT, K, MOST = 8, 4, 96
-#: Documents whose neighbours are found in one task.
-RUN = 256
+#: Documents whose neighbours are found in one task, and quantiles of the ids between which these are dealt evenly by value.
+RUN, QUANTILES = 256, 256
 #: Runs whose first ids are sent to all tasks; above, they are joined by a shuffle.
 SMALL = 100_000
 
@@ -39,7 +42,7 @@ def anchors(df: DataFrame, text: Column, into: str) -> DataFrame:
     """``df`` with the column ``into``: array of (at, hash) anchors of ``text`` in order."""
     h, p = f"_{into}_h", f"_{into}_p"
     df = df.withColumn(h, F.transform(_units(text), lambda u: F.xxhash64(u)))
-    df = df.withColumn(p, F.zip_with(F.col(h), F.slice(F.col(h), 2, 2147483647), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn(p, F.zip_with(F.col(h), F.slice(F.col(h), F.lit(2), F.size(h)), lambda a, b: F.xxhash64(a, b)))
     # From here a k-mer is K - 1 = 3 neighbouring pairs.
     found = F.transform(F.filter(F.sequence(F.lit(1), F.size(h) - 3), lambda i: _edge(p, i)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.get(p, i - 1), F.get(p, i + 1)).alias("hash")))
     short = F.array(F.struct(F.lit(1).alias("at"), F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")).alias("hash")))
@@ -52,22 +55,21 @@ def _edge(p: str, i: Column) -> Column:
     return (inner >= first) | (inner >= last)
 
 
-def sketches(df: DataFrame, text: Column, into: str) -> DataFrame:
-    """``df`` with the column ``into``: sorted array of the MOST smallest distinct anchor hashes of ``text``."""
-    h, p = f"_{into}_h", f"_{into}_p"
-    df = df.withColumn(h, F.transform(_units(text), lambda u: F.xxhash64(u)))
-    df = df.withColumn(p, F.zip_with(F.col(h), F.slice(F.col(h), 2, 2147483647), lambda a, b: F.xxhash64(a, b)))
-    found = F.transform(F.filter(F.sequence(F.lit(1), F.size(h) - 3), lambda i: _edge(p, i)), lambda i: F.xxhash64(F.get(p, i - 1), F.get(p, i + 1)))
-    short = F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")))
-    hashes = F.when(F.size(h) >= K, found).when(F.size(h) > 0, short).otherwise(F.array().cast("array<bigint>"))
-    return df.withColumn(into, F.slice(F.array_sort(F.array_distinct(hashes)), 1, MOST)).drop(h, p)
+def sketch(anchors: Column) -> Column:
+    """The short form of a text's anchors: sorted array of the MOST smallest distinct hashes."""
+    return F.slice(F.array_sort(F.array_distinct(anchors["hash"])), 1, MOST)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 from two sketches."""
-    both = F.slice(F.array_sort(F.array_union(a, b)), 1, MOST)
-    common = F.size(F.array_intersect(F.array_intersect(a, b), both))
-    return F.when(F.size(both) == 0, 1.0).otherwise(common / F.size(both).cast("double"))
+    """0 to 1 from the anchors of two texts."""
+    common, both = F.size(F.array_intersect(a["hash"], b["hash"])), F.size(F.array_union(a["hash"], b["hash"]))
+    return F.when(both == 0, 1.0).otherwise(common / both.cast("double"))
+
+
+def placed(a: Column, b: Column) -> Column:
+    """The number of anchors that stand at the same place in two texts."""
+    at = lambda x: F.transform(x, lambda p: F.xxhash64(p["at"], p["hash"]))
+    return F.size(F.array_intersect(at(a), at(b)))
 
 
 def written(sketch: Column) -> Column:
@@ -75,50 +77,64 @@ def written(sketch: Column) -> Column:
     return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
+def ranges(df: DataFrame, id_col: str) -> Column | None:
+    """The number of an id's range, in the order of ids, of which each holds about RUN rows; None without rows. Ids are cut at up to QUANTILES of their
+    quantiles and evenly by value in between, so that outliers and gaps spoil one part of QUANTILES at most."""
+    n, low, high = df.agg(F.count(id_col), F.min(id_col), F.max(id_col)).first()
+    if not n:
+        return None
+    parts = min(QUANTILES, math.ceil(n / RUN))
+    cuts = df.agg(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 100 * parts)).first()[0] if parts > 1 else []
+    edges = sorted({low, *cuts}) + [high + 1]
+    each = math.ceil(n / parts / RUN)
+    width = [max(1, -(-(b - a) // each)) for a, b in zip(edges, edges[1:])]
+    whole = lambda xs: F.from_json(F.lit(str(list(xs))), "array<bigint>")
+    at = F.size(F.filter(whole(edges[:-1]), lambda e: e <= F.col(id_col)))
+    return ((at - 1) * each + F.floor((F.col(id_col) - F.get(whole(edges), at - 1)) / F.get(whole(width), at - 1))).cast("bigint")
+
+
 def with_next(df: DataFrame, id_col: str, payload: list[str]) -> DataFrame:
     """``df`` with ``next_<column>`` for each payload column: the row of the next lower id, and for the lowest id
-    that of the highest. Ids are dealt into ranges of about RUN rows by value; each range's highest row also goes to
-    the range above, so that one window inside the ranges is enough. Repeated ids follow each other in an order by the payload's
-    hash; rows with a null id have null neighbours. Ids far from even only make ranges uneven, which windows can spill."""
-    spark = df.sparkSession
-    stats = df.select(F.min(id_col).alias("low"), F.max(id_col).alias("high"), F.count(id_col).alias("n")).first()
+    that of the highest. Ids are dealt into :func:`ranges`; each range's highest row also goes to the range above, so that
+    one window inside the ranges is enough. Repeated ids follow each other in an order by the payload's
+    hash; rows with a null id have null neighbours."""
     plain = df.withColumns({f"next_{c}": F.lit(None).cast(df.schema[c].dataType) for c in payload})
-    if not stats.n:
+    run = ranges(df, id_col)
+    if run is None:
         return plain
-    width = max(1, math.ceil((stats.high - stats.low + 1) / math.ceil(stats.n / RUN)))
-    run = F.floor((F.col(id_col) - F.lit(stats.low)) / F.lit(width)).cast("bigint")
     tops = df.filter(F.col(id_col).isNotNull()).groupBy(run.alias("_run")).agg(F.max(id_col).alias("_top"))
     # The range above each range that has rows; the highest range's top goes below the lowest one.
     above = F.lead("_run").over(Window.orderBy("_run"))
-    tops = tops.withColumn("_above", F.coalesce(above, F.lit(-1).cast("bigint"))).select("_top", "_above")
-    lowest = F.lit(0).cast("bigint")
-    n_runs = math.ceil(stats.n / RUN) + 1
+    tops = tops.withColumn("_above", F.coalesce(above, F.lit(-1).cast("bigint"))).select("_top", "_above", F.col("_run").alias("_own"))
+    tops = stored(tops)
+    n_runs, lowest = tops.agg(F.count("*"), F.min("_own")).first()
     rows = df.filter(F.col(id_col).isNotNull()).withColumn("_run", run)
-    rows = rows.join(F.broadcast(tops) if n_runs <= SMALL else tops, rows[id_col] == F.col("_top"), "left")
+    rows = rows.join(F.broadcast(tops.drop("_own")) if n_runs <= SMALL else tops.drop("_own"), rows[id_col] == F.col("_top"), "left")
     targets = F.when(F.col("_top").isNull(), F.array(F.struct(F.col("_run").alias("r"), F.lit(False).alias("copy"))))
-    goes = F.when(F.col("_above") >= 0, F.col("_above")).otherwise(lowest)
+    goes = F.when(F.col("_above") >= 0, F.col("_above")).otherwise(F.lit(lowest))
     targets = targets.otherwise(F.array(F.struct(F.col("_run").alias("r"), F.lit(False).alias("copy")), F.struct(goes.alias("r"), F.lit(True).alias("copy"))))
     rows = rows.withColumn("_t", F.explode(targets)).withColumns({"_r": F.col("_t.r"), "_copy": F.col("_t.copy")})
     # A copy stands behind all rows of its range.
     order = Window.partitionBy("_r").orderBy("_copy", F.col(id_col).desc(), F.xxhash64(*payload))
     rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in payload}).filter(~F.col("_copy")).select(*df.columns, *(f"next_{c}" for c in payload))
-    return rows.unionByName(plain.filter(F.col(id_col).isNull())) if spark else rows
+    return rows.unionByName(plain.filter(F.col(id_col).isNull()))
 
 
 def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of each row: the edited text has
-    its last third of characters replaced by as many, or all, from the start of the next text in falling order of ids."""
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, placed_edited, placed_next) of each row: the edited text has
+    its last third of characters replaced by as many, or all, from the start of the next text in falling order of ids. Only texts are
+    shuffled; anchors are found where they are compared."""
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    docs = sketches(docs, F.col("_text"), "_sketch")
-    docs = with_next(docs, "_id", ["_text", "_sketch"])
+    docs = with_next(docs, "_id", ["_text"]).withColumn("_next", F.coalesce("next__text", F.lit(""))).drop("next__text")
     n = F.length("_text")
     third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - third), F.substring(F.coalesce(F.col("next__text"), F.lit("")), F.lit(1), third))
-    docs = docs.withColumns({"_n": n.cast("bigint"), "_edited": edited}).drop("_text", "next__text")
-    docs = sketches(docs, F.col("_edited"), "_edited_sketch")
-    empty = F.array().cast("array<bigint>")
+    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - third), F.substring(F.col("_next"), F.lit(1), third))
+    docs = docs.withColumns({"_n": n.cast("bigint"), "_edited": edited})
+    for text, into in (("_text", "own"), ("_next", "other"), ("_edited", "changed")):
+        docs = anchors(docs, F.col(text), into)
+    own, other, changed = (F.col(c) for c in ("own", "other", "changed"))
     return docs.select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_chars"), F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"),
-        written(F.col("_sketch")).alias("fingerprint"), written(F.col("_edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("_sketch"), F.col("_edited_sketch")).alias("near_edited"), likeness(F.col("_sketch"), F.coalesce("next__sketch", empty)).alias("near_next"),
+        written(sketch(own)).alias("fingerprint"), written(sketch(changed)).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, other).alias("near_next"),
+        placed(own, changed).alias("placed_edited"), placed(own, other).alias("placed_next"),
     )

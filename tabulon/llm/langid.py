@@ -24,9 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
 from ..session import reachable
-from .common import chunks, sent, tidy
+from .common import chunks, sent, tidy, unused
 
 UNDETERMINED = "und"
 ORDER = 4
@@ -43,9 +44,10 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 @functools.cache
 def _symbols() -> np.ndarray:
-    """For each code point its symbol: the lower-case letter (16 bits), or 0."""
+    """For each code point its symbol: the lower-case letter, or 0. Symbols have 16 bits: letters above U+FFFF, of rare scripts, share the symbols
+    of the letters 65,536 places below, which makes them letters all the same."""
     out = np.zeros(0x110000, dtype=np.uint16)
-    for c in range(0x30000):
+    for c in range(sys.maxunicode + 1):
         if not 0xD800 <= c < 0xE000 and (x := chr(c)).isalpha():
             out[c] = (ord(x.lower()[0]) & 0xFFFF) or 1
     return out
@@ -299,20 +301,21 @@ def identify(df: DataFrame, identifier: Identifier, id_col: str = "doc_id", text
     pass over the scan. Columns of ``keep`` named like a result give way to it."""
     results = ["lang_pred", "score", "cross_entropy", "rejected"]
     names = [c for c in (keep or [id_col]) if c not in results]
+    own_text = unused("text", [*names, *results])
     given = sent(df, pickle.dumps(identifier))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = _loaded(given.value)
-        for batch in chunks(batches, "_text"):
-            rows = own.identify([t or "" for t in batch.column("_text").to_pylist()])
+        for batch in chunks(batches, own_text):
+            rows = own.identify([t or "" for t in batch.column(own_text).to_pylist()])
             kinds = [pa.string(), pa.float64(), pa.float64(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=names + results)
 
     run.clear = _loaded.cache_clear
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "lang_pred string, score double, cross_entropy double, rejected boolean"])
-    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("_text")).mapInArrow(tidy(run), schema)
+    schema = StructType([df.schema[c] for c in names] + [StructField(c, k) for c, k in zip(results, (StringType(), DoubleType(), DoubleType(), BooleanType()))])
+    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias(own_text)).mapInArrow(tidy(run), schema)
 
 
 __all__ = ["Identifier", "Model", "identify", "train", "UNDETERMINED"]

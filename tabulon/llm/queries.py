@@ -51,7 +51,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document scored by a classifier that saw no label of the held-out third."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held = crc_of_id() % 3 == 1
-    scorer = toxicity.train(docs, labels.filter(~held))
+    scorer = toxicity.train(docs.filter(~held), labels.filter(~held))
     scored = toxicity.score(docs, scorer)
     return scored.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
@@ -59,7 +59,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the words that the mix takes of it."""
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,16 +2,16 @@
 
 1. Voters. A fixed lexicon of insults, and pattern voters (whole words and beginnings of words) mined from labelled
    training rows by smoothed log-odds. A voter fires when its word or beginning occurs in a text, else it abstains.
-2. A generative label model. Each voter has a firing rate under either label; the rates and the labels' posterior
-   are fitted by expectation-maximisation, started from the labelled rows. Pairs of voters whose firings
-   stay correlated given the posterior share their weight, so that ten voters that always fire together don't
-   count ten times.
+2. A generative label model. The voters label a bounded sample of all training documents, with and without a label. Each voter
+   has a firing rate under either label; the rates and the documents' posterior are fitted by expectation-maximisation,
+   started from the labels where there are any and from their share elsewhere. Pairs of voters whose firings stay
+   correlated given the posterior share their weight, so that ten voters that always fire together don't count ten times.
 3. A linear classifier (logistic regression on the presence of words and beginnings) is trained on the posterior
-   labels, and its score is calibrated by two numbers on the same rows.
+   labels of that sample, and its score is calibrated by two numbers on the labelled rows.
 
-Training takes at most ``sample`` labelled rows (the smallest hashes of their text and id); mining, voting and the features
-run in the executors, and what reaches the driver is bounded by that number and by the number of features. Scoring
-reads every text once, whole, without a shuffle.
+Training takes at most ``sample`` labelled rows (the smallest hashes of id and label) and ``unlabelled`` other documents (the smallest hashes
+of the id), of rows with one id one; mining, voting and the features run in the executors, and what reaches the driver is bounded by these
+numbers and by the number of features. Scoring reads every text once, whole, without a shuffle.
 
 Null and empty texts have no features and get the score of the intercept. Null labels are not learned from, nor are
 labels without a document; a document labelled twice counts once for each label. Without labels of both kinds,
@@ -29,9 +29,10 @@ from dataclasses import dataclass, field
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import reachable
-from .common import chunks, sent, stored, tidy
+from .common import chunks, drop_stored, sent, stored, tidy, unused
 
 #: Common insults of English, German, French and Spanish, the lexicon voters.
 LEXICON = [
@@ -46,9 +47,10 @@ LEXICON = [
 LEXICON_WEIGHT = 3.0
 #: Lengths of the beginnings of words that are patterns.
 BEGINNINGS = (3, 4, 5, 6, 7)
-SAMPLE = 20_000
+#: Labelled rows and other documents that are learned from at most.
+SAMPLE, UNLABELLED = 20_000, 10_000
 #: Most mined voters, most features of the classifier, and rows in which a mined voter fires at least.
-VOTERS, FEATURES, SUPPORT = 300, 2000, 3
+VOTERS, FEATURES, SUPPORT = 300, 4000, 3
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -155,12 +157,21 @@ def _logistic(index: list[np.ndarray], target: np.ndarray, n: int, centre: np.nd
     return w[:n], float(w[n])
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Scorer:
-    """A scorer from the labelled rows. ``labels`` must hold training rows only."""
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, unlabelled: int = UNLABELLED
+) -> Scorer:
+    """A scorer from the labelled rows and a sample of ``docs``. Both must hold training rows only."""
     reachable(docs.sparkSession)
-    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-    chosen = known.withColumn("h", F.xxhash64("id", "y")).orderBy("h", "id", "y").limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen.select("id", "y")), "id").select("id", "text", "y")  # ``sample`` rows at most
+    known = labels.filter(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).distinct()
+    chosen = stored(known.withColumn("h", F.xxhash64("id", "y")).orderBy("h", "id", "y").limit(sample).select("id", "y"))
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    others = plain.select("id").filter("id is not null").join(F.broadcast(chosen.select("id").distinct()), "id", "left_anti")  # ``sample`` rows at most
+    others = others.distinct().withColumn("h", F.xxhash64("id")).orderBy("h", "id").limit(unlabelled).select("id", F.lit(-1).alias("y"))
+    picked = stored(chosen.union(others))
+    # One text for each id, so that the bound holds whatever the ids.
+    found = plain.join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.min_by(F.struct("text"), F.xxhash64("text"))["text"].alias("text"))
+    every = stored(found)
+    rows = every.filter("y >= 0")
 
     def mine(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -201,14 +212,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "found"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    got = rows.mapInArrow(tidy(index), f"id {kind}, y int, found binary").collect()
+    got = every.mapInArrow(tidy(index), f"id {kind}, y int, found binary").collect()
     got.sort(key=lambda r: (r.id, r.y))
+    for table in (summed, every, picked, chosen):
+        drop_stored(table)
     y = np.array([r.y for r in got], dtype=np.float64)
+    gold = y >= 0
     found = [np.frombuffer(r.found, dtype=np.int32) for r in got]
     votes = np.zeros((len(got), len(voters)), dtype=np.float32)
     for i, f in enumerate(found):
         votes[i, f[f < len(voters)]] = 1
-    model = LabelModel.fit(votes, np.clip(y, 0.05, 0.95))
+    model = LabelModel.fit(votes, np.where(gold, np.clip(y, 0.05, 0.95), y[gold].mean()))
     post = model.posterior(votes)
     centre, ridge = np.zeros(len(features)), np.full(len(features), 3.0)
     centre[: len(LEXICON)], ridge[: len(voters)] = LEXICON_WEIGHT, 0.3
@@ -216,7 +230,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     weights = {x: round(float(w[i]), 5) for i, x in enumerate(features) if abs(w[i]) > 1e-3}
     scorer = Scorer(weights, b, voters=voters, rates=model.rates, correlations=model.correlations)
     z = np.array([b + w[f].sum() for f in found])
-    scorer.slope, scorer.shift = _calibrate(z, y)
+    scorer.slope, scorer.shift = _calibrate(z[gold], y[gold])
     return scorer
 
 
@@ -249,16 +263,17 @@ def score(df: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str =
     import pickle
 
     names = [c for c in (keep or [id_col]) if c != "score"]
+    own_text = unused("text", [*names, "score"])
     given = sent(df, pickle.dumps(scorer))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = _loaded(given.value)
-        for batch in chunks(batches, "_text"):
-            values = [own.score(t) for t in batch.column("_text").to_pylist()]
+        for batch in chunks(batches, own_text):
+            values = [own.score(t) for t in batch.column(own_text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(values, pa.float64())], names=[*names, "score"])
 
     run.clear = _loaded.cache_clear
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names), "score double"])
-    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias("_text")).mapInArrow(tidy(run), schema)
+    schema = StructType([*(df.schema[c] for c in names), StructField("score", DoubleType())])
+    return df.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text_col}`").alias(own_text)).mapInArrow(tidy(run), schema)

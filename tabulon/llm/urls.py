@@ -2,8 +2,9 @@
 
 Everything that touches rows is a DataFrame expression. Host and path are cut out by position; the longest
 fitting rule decides; urls without one get the verdict of the trees. The features are lengths, depth, digit ratio, host
-entropy, counts of labels, hyphens and parameters, and smoothed block rates of host suffixes and of file suffixes.
-The trees are trained on a bounded sample of labelled urls by histogram splits (logistic loss) on the driver,
+entropy, counts of labels, hyphens and parameters, and smoothed block rates of host suffixes and of file suffixes. These rates are counted
+over all labelled urls, in BUCKETS hashed buckets, so that no suffix is left out; rows that train the trees get the
+rates of the other hosts' urls (hosts are dealt into FOLDS by a hash), which keeps a row's own label out of its features. The trees are trained on a bounded sample of labelled urls by histogram splits (logistic loss) on the driver,
 and become sums of CASE expressions, so that scoring stays inside generated code.
 
 The tables hold no labels for urls, so :func:`seed_labels` labels them by a fixed list of words in their hosts; words
@@ -28,8 +29,8 @@ SEED_WORDS = [
 #: Labelled urls that train the trees at most: those of the smallest hashes.
 SAMPLE = 20_000
 TREES, DEPTH, RATE, BINS, LEAST = 30, 3, 0.3, 32, 5
-#: Suffixes with an own block rate at most, the most frequent ones of the sample.
-SUFFIXES = 200
+#: Buckets of hashed suffixes, folds of hosts, and urls' worth of prior in a rate.
+BUCKETS, FOLDS, PRIOR = 4096, 5, 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -100,13 +101,11 @@ def seed_labels(df: DataFrame, url_col: str = "url") -> DataFrame:
 
 @dataclass
 class Trees:
-    """(feature, threshold, left, right) nodes or leaf values; suffix rates as lookup tables."""
+    """(feature, threshold, left, right) nodes or leaf values; rates of the buckets of host and file suffixes."""
 
     trees: list
     base: float
-    host_rates: dict[str, float]
-    file_rates: dict[str, float]
-    prior: float
+    rates: dict[str, np.ndarray]
 
     def score(self) -> Column:
         """Log-odds of block from the columns FEATURES."""
@@ -122,39 +121,48 @@ class Trees:
             total = total + grow(tree)
         return total
 
-    def rates(self) -> dict[str, Column]:
-        def lookup(name: str, table: dict[str, float]) -> Column:
-            out = F.lit(self.prior)
-            if table:
-                pairs = [x for k, v in sorted(table.items()) for x in (F.lit(k), F.lit(v))]
-                out = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col(name)), out)
-            return out
+    def looked_up(self) -> dict[str, Column]:
+        """The rate features; a table is one literal, which the optimiser folds."""
+        table = lambda kind: F.from_json(F.lit(str([float(x) for x in self.rates[kind]])), "array<double>")
+        return {f"{kind}_rate": F.element_at(table(kind), bucket(kind) + 1) if kind in self.rates else F.lit(0.0) for kind in ("host", "file")}
 
-        return {"host_rate": lookup("_host_suffix", self.host_rates), "file_rate": lookup("_file_suffix", self.file_rates)}
 
+def bucket(kind: str) -> Column:
+    return F.pmod(F.xxhash64(f"_{kind}_suffix"), F.lit(BUCKETS)).cast("int")
 
-def _rates(names: list[str], y: np.ndarray, prior: float) -> dict[str, float]:
-    seen: dict[str, list[float]] = {}
-    for n, v in zip(names, y):
-        s = seen.setdefault(n, [0.0, 0.0])
-        s[0] += v
-        s[1] += 1
-    most = sorted(seen, key=lambda n: (-seen[n][1], n))[:SUFFIXES]
-    return {n: round((seen[n][0] + 5 * prior) / (seen[n][1] + 5), 6) for n in most}
+
+def fold(host: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit("fold"), host), F.lit(FOLDS)).cast("int")
+
+
+def suffix_counts(labelled: DataFrame) -> dict[str, np.ndarray]:
+    """For host and file suffixes an array (bucket, fold, urls and blocked ones), counted over all labelled urls of the table."""
+    features = lexical(labelled, F.col("url")).withColumn("_fold", fold(F.col("_host")))
+    out = {}
+    for kind in ("host", "file"):
+        counts = np.zeros((BUCKETS, FOLDS, 2))
+        grouped = features.groupBy(bucket(kind).alias("b"), "_fold").agg(F.count("*").alias("n"), F.sum("label").alias("y"))
+        for r in grouped.collect():  # BUCKETS * FOLDS rows at most
+            counts[r.b, r[1]] = r.n, r.y
+        out[kind] = counts
+    return out
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees from (url, label) rows; the sample is bounded and is all that the driver sees."""
-    rows = labelled.filter(F.col("url").isNotNull() & F.col("label").isin(0, 1)).distinct()
-    rows = rows.withColumn("h", F.xxhash64("url", "label")).orderBy("h", "url", "label").limit(sample)
+    """Trees from (url, label) rows. The sample of distinct urls is bounded; it and the suffixes' counts are all that the driver sees."""
+    labelled = labelled.filter(F.col("url").isNotNull() & F.col("label").isin(0, 1))
+    rows = labelled.distinct().withColumn("h", F.xxhash64("url", "label")).orderBy("h", "url", "label").limit(sample)
     plain = FEATURES[:-2]
-    got = lexical(rows, F.col("url")).select("label", "_host_suffix", "_file_suffix", *plain).collect()
+    got = lexical(rows, F.col("url")).select("label", fold(F.col("_host")), bucket("host"), bucket("file"), *plain).collect()
     y = np.array([r[0] for r in got], dtype=np.float64)
     if not len(y) or y.min() == y.max():
-        return Trees([], -1.0, {}, {}, 0.0)
-    prior = round(float(y.mean()), 6)
-    host, file = _rates([r[1] for r in got], y, prior), _rates([r[2] for r in got], y, prior)
-    x = np.array([[*r[3:], host.get(r[1], prior), file.get(r[2], prior)] for r in got], dtype=np.float64)
+        return Trees([], -1.0, {})
+    prior = float(y.mean())
+    rate = lambda c: np.round((c[..., 1] + PRIOR * prior) / (c[..., 0] + PRIOR), 6)
+    counts = suffix_counts(labelled)
+    folds = np.array([r[1] for r in got])
+    apart = [rate((c.sum(axis=1, keepdims=True) - c)[[r[i] for r in got], folds]) for i, c in ((2, counts["host"]), (3, counts["file"]))]
+    x = np.column_stack([np.array([r[4:] for r in got], dtype=np.float64), *apart])
     cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
     binned = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(cuts, x.T)], axis=1)
     base = float(np.log(y.sum() / (len(y) - y.sum())))
@@ -187,12 +195,12 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Trees:
         p = 1 / (1 + np.exp(-z))
         gradient, hessian = p - y, p * (1 - p)
         trees.append(grow(np.arange(len(y)), 0))
-    return Trees(trees, base, host, file, prior)
+    return Trees(trees, base, {kind: rate(c.sum(axis=1)) for kind, c in counts.items()})
 
 
 def judge(df: DataFrame, trees: Trees, rules: list[Rule], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """(id, host, path, rule, verdict, score): ``score`` is the probability of block that the trees give."""
-    df = lexical(df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_given")), F.col("_given")).withColumns(trees.rates())
+    df = lexical(df.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_given")), F.col("_given")).withColumns(trees.looked_up())
     rule, verdict = ruled(F.col("_host"), F.col("_path"), rules)
     df = df.withColumns({"rule": rule, "_ruled": verdict, "score": F.round(1 / (1 + F.exp(-trees.score())), 6)})
     own = F.when(F.col("score") >= 0.5, "block").otherwise("allow")

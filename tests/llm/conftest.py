@@ -17,7 +17,7 @@ def odd(spark):
         (9, "日本語の文章です。\U0001f600 it's we'll I'Ve", None, "s2"), (None, "no id here at all", "en", "s1"), (None, None, None, None),
     ]
     df = spark.createDataFrame([(*r, len(r[1]) if r[1] else None) for r in rows], DOCS)
-    clash = ["size", "score", "n_tokens", "shard", "rule", "png", "h", "id", "key", "taken", "component_id", "lang_pred", "_t", "run"]
+    clash = ["size", "score", "n_tokens", "shard", "rule", "png", "h", "id", "taken", "component_id", "lang_pred", "_t", "run", "_text", "row", "_row", "key", "one", "_one", "_k_id", "turn", "rank", "pass", "spans", "cross_entropy", "rejected", "bits", "start"]
     from pyspark.sql import functions as F
 
     return df.withColumns({c: F.lit(c) for c in clash}).cache()

@@ -100,6 +100,17 @@ def test_cache_collisions():
     assert a == pytest.approx(b)
 
 
+def test_letters_of_all_planes():
+    """Every letter of Unicode is one, and lower and upper case share a symbol."""
+    symbols = langid._symbols()
+    letters = np.array([chr(c).isalpha() for c in range(0x110000)])
+    assert np.array_equal(symbols > 0, letters)
+    assert symbols[ord("A")] == symbols[ord("a")] and symbols[0x10400] == symbols[0x10428]
+    values, counts = np.unique(langid.grams(["the fox"])[0], return_counts=True)
+    found = langid.Identifier({"en": langid.Model(values, counts)}, {}).identify(["\U00030000" * 10, "123"])
+    assert [r[0] for r in found] == ["en", "und"] and found[0][1] > 0
+
+
 def labels_of(corpus):
     return corpus.select("doc_id", F.col("text").contains("idiot").cast("int").alias("toxic"))
 
@@ -120,6 +131,22 @@ def test_toxicity(corpus, odd, empty):
     assert again.weights == scorer.weights
 
 
+def test_unlabelled_documents_count(spark, corpus, monkeypatch):
+    """Documents without a label get a posterior from the voters and train the classifier; samples are bounded whatever the ids."""
+    labels = labels_of(corpus).filter("doc_id % 5 = 0")
+    seen = []
+    fit = toxicity.LabelModel.fit.__func__
+    monkeypatch.setattr(toxicity.LabelModel, "fit", classmethod(lambda cls, votes, start, *a: seen.append(start) or fit(cls, votes, start, *a)))
+    scorer = toxicity.train(corpus, labels, unlabelled=50)
+    known = labels.count()
+    assert len(seen[0]) == known + 50 and len({float(x) for x in seen[0]}) == 3
+    rows = toxicity.score(corpus, scorer).join(labels_of(corpus), "doc_id").collect()
+    assert sum((r.score >= queries.TOXIC) == bool(r.toxic) for r in rows) >= 0.99 * len(rows)
+    hot = corpus.unionByName(corpus.withColumn("doc_id", F.lit(0).cast("bigint")))
+    toxicity.train(hot, labels, sample=30, unlabelled=20)
+    assert len(seen[-1]) == 50
+
+
 def test_label_model_shares_weight_of_copies():
     rng = np.random.default_rng(1)
     y = rng.random(800) < 0.3
@@ -131,10 +158,6 @@ def test_label_model_shares_weight_of_copies():
     assert model.rates[1][1] == pytest.approx(0.7, abs=0.1)
 
 
-def units(text):
-    return re.findall(r"\S{1,%d}" % fingerprints.UNIT, text, re.ASCII)
-
-
 def test_syncmers_are_context_free(spark):
     rows = [(1, "a b c d e f g h i j k l"), (2, "z a b c d e f g h i j k l"), (3, "x y"), (4, "")]
     got = {r.doc_id: r for r in fingerprints.anchors(spark.createDataFrame(rows, "doc_id int, text string"), F.col("text"), "a").collect()}
@@ -161,9 +184,11 @@ def test_insertion_in_unspaced_text(spark):
     assert got["same"] <= got["front"]
     assert len(got["same"] & got["middle"]) > 0.98 * len(got["same"])
     assert len(got["same"] & got["passage"]) > 0.6 * len(got["same"])
-    sketch = fingerprints.sketches(df, F.col("t"), "s")
-    near = {r.name: r.near for r in sketch.crossJoin(sketch.filter("name = 'same'").select(F.col("s").alias("o"))).select("name", fingerprints.likeness(F.col("s"), F.col("o")).alias("near")).collect()}
-    assert near["front"] > 0.95 and near["middle"] > 0.9 and near["passage"] > 0.4
+    found = fingerprints.anchors(df, F.col("t"), "s")
+    both = found.crossJoin(found.filter("name = 'same'").select(F.col("s").alias("o")))
+    near = {r.name: r for r in both.select("name", fingerprints.likeness(F.col("s"), F.col("o")).alias("near"), fingerprints.placed(F.col("s"), F.col("o")).alias("placed")).collect()}
+    assert near["front"].near > 0.95 and near["middle"].near > 0.95 and near["passage"].near > 0.4
+    assert near["same"].near == 1 and near["front"].placed == 0 and 0.4 < near["middle"].placed / len(got["same"]) < 0.6
 
 
 def test_fingerprints(spark, odd, empty, corpus):
@@ -189,6 +214,53 @@ def test_fingerprints(spark, odd, empty, corpus):
     assert sum(g.near_edited for g in near) / len(near) > 0.35
 
 
+def brute_anchors(text, hashed):
+    """Anchors (place, key) of a text by the definition; ``hashed`` gives the 64-bit hash of units and of pairs."""
+    n, k = fingerprints.UNIT, fingerprints.K
+    units = [r[i : i + n] for r in re.findall(r"\S+", text, re.ASCII) for i in range(max(1, len(r) - n + 1))]
+    h = [hashed[u] for u in units]
+    if len(h) < k:
+        return {(1, tuple(h))} if h else set()
+    out = set()
+    for i in range(len(h) - k + 1):
+        p = [hashed[a, b] for a, b in zip(h[i:], h[i + 1 : i + k])]
+        if min(p) in (p[0], p[-1]):
+            out.add((i + 1, (p[0], p[-1])))
+    return out
+
+
+def test_fingerprints_by_brute_force(spark):
+    rng = np.random.default_rng(2)
+    words = ["ring", "wood", "a", "unbelievably", "x", "日本語の文章です", "zz"]
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40))) for _ in range(24)]
+    texts += [texts[3], texts[4] + " ring", "ring wood a x", "x", "", " "]
+    df = spark.createDataFrame([(2 * i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    after = {i: texts[i - 1] for i in range(len(texts))}
+    edited = {i: t[: len(t) - len(t) // 3] + after[i][: len(t) // 3] for i, t in enumerate(texts)}
+    n = fingerprints.UNIT
+    units = sorted({r[i : i + n] for t in [*texts, *edited.values()] for r in re.findall(r"\S+", t, re.ASCII) for i in range(max(1, len(r) - n + 1))})
+    hashed = {r.u: r.h for r in spark.createDataFrame([(u,) for u in units], "u string").select("u", F.xxhash64("u").alias("h")).collect()}
+    pairs = [(hashed[a], hashed[b]) for a in units for b in units]
+    hashed |= {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a bigint, b bigint").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    for r in fingerprints.compare(df).collect():
+        i = r.doc_id // 2
+        own, changed, other = (brute_anchors(t, hashed) for t in (texts[i], edited[i], after[i]))
+        near = lambda a, b: len({k for _, k in a} & {k for _, k in b}) / len({k for _, k in a} | {k for _, k in b}) if a or b else 1.0
+        assert r.near_edited == pytest.approx(near(own, changed)) and r.near_next == pytest.approx(near(own, other)), i
+        assert (r.placed_edited, r.placed_next) == (len(own & changed), len(own & other))
+        assert len(r.fingerprint) == 16 * min(fingerprints.MOST, len({k for _, k in own}))
+
+
+def test_ranges_stay_small_beside_outliers(spark):
+    """One far id, or ids in two clouds, leave all ranges but a few as they were."""
+    for rows in ([*range(20_000), 10**15], [*range(0, 200_000, 20), *range(10**14, 10**14 + 10_000)]):
+        df = spark.createDataFrame([(i,) for i in rows], "i bigint")
+        sizes = sorted(r["count"] for r in df.groupBy(fingerprints.ranges(df, "i").alias("run")).count().collect())
+        assert sizes[-1] <= 4 * fingerprints.RUN and len(sizes) > 30
+        got = df.select("i", fingerprints.ranges(df, "i").alias("run")).orderBy("i").collect()
+        assert [r.run for r in got] == sorted(r.run for r in got)
+
+
 def test_next_in_sparse_ids(spark):
     ids = [-5, 0, 3, 10**12, 10**12 + 1, 7 * 10**15]
     df = spark.createDataFrame([(i, str(i)) for i in ids], "i bigint, t string")
@@ -232,6 +304,11 @@ def test_urls(spark):
     assert [got[i].verdict for i in (0, 1, 3, 4, 9)] == ["allow", "block", "block", "allow", "block"]
     held = spark.createDataFrame([(0, "http://cheap-casino99.best-win.com/a-7/b?x=1&y=2"), (1, "http://sitex.org/p/7.html")], "page_id bigint, url string")
     assert {r.page_id: r.verdict for r in urls.judge(held, trees, []).collect()} == {0: "block", 1: "allow"}
+    assert set(trees.rates) == {"host", "file"} and all(len(r) == urls.BUCKETS for r in trees.rates.values())
+    odd = spark.createDataFrame([(0, "http://a.org/" + "p/" * 40_000 + "?x=1"), (1, "http://a.org/"), (2, "http://a.org/"), (None, "http://a.org/"), (5, ""), (6, None)], "page_id bigint, url string")
+    odd = odd.withColumns({c: F.lit("x") for c in ("host", "path", "rule", "verdict", "score", "_host", "_url", "label")})
+    rows = urls.judge(odd, trees, queries.RULES).collect()
+    assert len(rows) == 6 and len({(r.verdict, r.score) for r in rows if r.path == "/"}) == 1
     none = urls.train(urls.seed_labels(df.filter(F.lit(False))))
     assert {r.verdict for r in urls.judge(df, none, []).collect()} == {"allow"}
     assert urls.judge(df.filter(F.lit(False)), trees, queries.RULES).count() == 0
