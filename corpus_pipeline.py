@@ -1,7 +1,8 @@
 """A training-data pipeline: each stage works on all that the one before has kept.
 
-Empty tables pass through every stage as empty tables; further columns of ``documents`` stay, null columns are handled as the
-operators' docstrings say, and rows are never dropped for any other reason than the stage's own decision.
+Empty tables pass through every stage as empty tables; further columns of ``documents`` stay up to the last stage, whatever their names, null
+columns are handled as the operators' docstrings say, and rows are never dropped for any other reason than the stage's own decision. The
+last stage returns the encoding alone: id, numbers and digests of tokens, and their ids.
 """
 
 from __future__ import annotations
@@ -14,29 +15,33 @@ from tabulon.llm.common import WRITTEN, crc_of_id, drop_written, stored, table
 from tabulon.llm.queries import TOXIC, vocabulary_path
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, text): whole rows in one column beside what a stage reads, so that no name of the stage's own meets one of theirs."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), "doc_id", "text")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language models reject: no letter, null or empty, or unlike any language."""
-    found = langid.identify(docs, langid.train(docs), keep=docs.columns)
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    found = langid.identify(packed(docs), langid.train(docs), keep=["row"])
+    return found.filter(~F.col("rejected")).select("row.*")
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the classifier scores as toxic; it learns from the labels but those of the held-out third."""
     labels = table(spark, sf_dir, "labels").filter(crc_of_id() % 3 != 1)
-    scored = toxicity.score(docs, toxicity.train(docs, labels), keep=docs.columns)
-    return scored.filter(F.col("score") < TOXIC).select(*docs.columns)
+    scored = toxicity.score(packed(docs), toxicity.train(docs.filter(crc_of_id() % 3 != 1), labels), keep=["row"])
+    return scored.filter(F.col("score") < TOXIC).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the smallest id of each group at 80 % of the 5-word shingles, and of rows with equal id and text one. An id's different
     texts are documents of their own. Rows without an id stay."""
-    keyed = docs.filter("doc_id is not null").withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = stored(jaccard.groups(keyed, n=5, percent=80, id_col="_key")).select("_key", "component_id").distinct()
-    named = found.join(keyed.select("doc_id", "_key").distinct(), "_key")
-    firsts = stored(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "_key"))["_key"].alias("_key")).select("_key"))
-    kept = keyed.join(firsts, "_key", "left_semi")
-    one = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64("text")))
-    kept = kept.withColumn("_one", one).filter("_one = 1").select(*docs.columns)
+    keyed = packed(docs.filter("doc_id is not null")).withColumn("key", F.xxhash64("doc_id", "text"))
+    found = stored(jaccard.groups(keyed, n=5, percent=80, id_col="key")).select("key", "component_id").distinct()
+    named = found.join(keyed.select("doc_id", "key").distinct(), "key")
+    firsts = stored(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key")).select("key"))
+    one = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    kept = keyed.join(firsts, "key", "left_semi").withColumn("one", one).filter("one = 1").select("row.*")
     return kept.unionByName(docs.filter("doc_id is null"))
 
 

@@ -11,18 +11,21 @@ first cut into projections in which pivots do:
    documents hold are left out first; a document whose other n-grams fill too few classes takes part with all its n-grams
    too, so that no link is lost. Inside a task and then over tasks every region ties its documents to its smallest
    one; what hangs together is a cluster, and no link leaves a cluster.
-2. Voronoi regions. In a cluster too large for a task, pivots are drawn, each document goes to the region of its nearest pivot, and
-   to every other region whose pivot is at most 2e farther: by the triangle inequality a link's two ends then meet in a
-   region. Regions are cut again while they are too large; where replication would eat the gain (all distances
-   alike), the region is cut into tiles whose pairs are joined instead, which is exact too.
+2. Voronoi regions. Clusters that are too large for a task are cut: pivots are drawn, every document's distance to them is measured,
+   and those within the threshold of a pivot are linked to it. Of what is connected in that way the largest group is the
+   cluster's main group; a link that still matters has an end outside of it. Each document goes to the region of its nearest pivot, and the
+   documents outside the main group also to every region whose pivot is at most 2e farther than their nearest one: by the
+   triangle inequality such a document then meets all documents it is linked to in their own regions. Pivots are done with.
+   Regions without a document outside the main group hold no link that matters and go. Regions that are still too
+   large are cut again. Where copies would outweigh the gain (distances that tell nothing apart) or after CUTS rounds, the documents outside the main
+   group are dealt into blocks and meet blocks of all, which is exact too.
 3. Inside a region each document is a pivot once: it is compared with those documents only which are not already
-   connected to it, whose size allows a link, and whose distances to the earlier pivots differ from its own by at most e.
-   A document in reach of a pivot is linked to it.
+   connected to it, whose sizes allow a link, and whose distances to earlier pivots differ by no more than e.
 
 Links are a spanning forest of every group (all links' groups, not all links). Words are runs without ASCII white space, A-Z
 lower-cased; a text of fewer words than n is one n-gram; null and empty texts and texts without words have an empty set and
-link with nothing. Rows of one id count as one document; rows without an id have no sets of their own and only find the group of
-an equal set. Equal sets are joined once. Other columns are not read.
+link with nothing. Rows of one id are one node: what links to one of its texts links to the id; their n_shingles are each row's own.
+Rows without an id have no sets of their own and only find the group of an equal set. Equal sets are joined once. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,10 +45,10 @@ from ..session import reachable
 from .common import chunks, sent, stored, tidy
 from .graph import components
 
-#: N-grams (of all documents together) that one region may hold in a task.
-REGION = 1_000_000
-#: Pivots drawn in a cluster that is too large, and rounds of that before tiles.
-PIVOTS, CUTS = 8, 3
+#: N-grams and documents (of all together) that one region may hold in a task.
+REGION, MEMBERS = 50_000, 20_000
+#: Pivots drawn in a region that is too large, rounds of that before blocks, and by how much copies may make a region grow in a round.
+PIVOTS, CUTS, GROWTH = 8, 4, 1.5
 #: An n-gram is common if tasks that met it in several different sets did so more than so often; so many are known as such at most.
 OFTEN, COMMON = 1, 1 << 21
 #: N-grams of all documents for each part of the projections' keys.
@@ -334,13 +337,16 @@ def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, par
     return packed.repartition("part").sortWithinPartitions("part").mapInArrow(tidy(tie), "a bigint, b bigint").distinct()
 
 
-def linked(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links (name, name) that connect the groups of a region; see step 3 above."""
+def linked(names: np.ndarray, sets: list[np.ndarray], percent: int, main: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links (name, name) that connect the groups of a region, of which the documents marked in ``main`` are one already; see step 3 above."""
     count = len(sets)
     order = np.argsort([len(s) for s in sets], kind="stable")
     names, sets = names[order], [sets[i] for i in order]
     size = np.array([len(s) for s in sets], dtype=np.int64)
     group = np.arange(count)
+    if main is not None and main.any():
+        same = np.flatnonzero(main[order])
+        group[same] = same[0]
     links = []
 
     def tie(i: int, j: int) -> None:
@@ -395,46 +401,76 @@ def linked(names: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tupl
 
 
 def _joined(regions: DataFrame, percent: int) -> DataFrame:
-    """(a, b) links of all regions (region, id, grams), each of bounded size."""
+    """(a, b) links of all regions (region, id, node, grams, main), each of bounded size."""
 
     def run(frames: Iterator) -> Iterator:
         import pandas as pd
 
         def rows():
             for pdf in frames:
-                yield from zip(pdf["region"].tolist(), pdf["id"].tolist(), pdf["grams"].tolist())
+                yield from zip(*(pdf[c].tolist() for c in ("region", "id", "node", "grams", "main")))
 
         for _, members in groupby(rows(), key=lambda r: r[0]):
             # A document that reached a region along several ways stands in it once.
-            own = {(i, len(g), int(g[0])): (i, g) for _, i, g in members}
-            found = linked(np.array([i for i, _ in own.values()], dtype=np.int64), [np.asarray(g, dtype=np.int64) for _, g in own.values()], percent)
+            own = {node: (i, g, m) for _, i, node, g, m in members}
+            ids, sets, main = zip(*own.values())
+            found = linked(np.array(ids, dtype=np.int64), [np.asarray(g, dtype=np.int64) for g in sets], percent, np.array(main, dtype=bool))
             if found:
                 yield pd.DataFrame(found, columns=["a", "b"])
 
     return regions.repartition("region").sortWithinPartitions("region", "id").mapInPandas(tidy(run), "a bigint, b bigint")
 
 
-def _cut(members: DataFrame, percent: int, round_: int) -> DataFrame:
-    """Voronoi regions of the given clusters (region, id, grams), with copies of documents near the boundaries."""
-    slot = F.pmod(F.xxhash64(F.lit(round_), "id"), F.lit(PIVOTS))
-    pivots = members.groupBy("region", slot.alias("slot")).agg(F.min(F.struct(F.xxhash64(F.lit(round_), "id"), "id"))["id"].alias("id"))
-    pivots = pivots.join(members, ["region", "id"]).select("region", "slot", F.col("grams").alias("pivot"))
-    both = F.size(F.array_intersect("grams", "pivot"))
-    away = 1 - both / (F.size("grams") + F.size("pivot") - both)
-    far = stored(members.join(pivots, "region").select("region", "id", F.xxhash64("grams").alias("set"), "slot", away.alias("d")))
-    near = far.groupBy("region", "id", "set").agg(F.min("d").alias("least"))
-    goes = far.join(near, ["region", "id", "set"]).filter(F.col("d") <= F.col("least") + F.lit(2 * (100 - percent) / 100 + 1e-9)).select("region", "id", "set", "slot")
-    own = members.withColumn("set", F.xxhash64("grams")).join(goes, ["region", "id", "set"])
-    return own.select(F.xxhash64("region", "slot", F.lit(round_)).alias("region"), "id", "grams")
-
-
-def _tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Regions of pairs of tiles: every two documents of a region meet in one of them."""
-    parts = sizes.select("region", F.ceil(2 * F.col("total") / REGION).cast("int").alias("tiles"))
-    rows = members.join(parts, "region").withColumn("own", F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    pair = F.xxhash64("region", F.least("own", "other"), F.greatest("own", "other"))
-    return rows.select(pair.alias("region"), "id", "grams")
+def _measured(members: DataFrame, percent: int, round_: int) -> DataFrame:
+    """``members`` (region, id, node, grams, main, total) with ``ds``, the distances to the pivots of their region (slot, id, d, linked), and
+    ``done``, whether a document is itself a pivot. Pivots are drawn from the documents outside the main group. A large region's members
+    are dealt over as many keys as it would fill regions, each with a copy of the pivots."""
+    draw = F.xxhash64(F.lit(round_), "node")
+    drawn = members.filter("not main").groupBy("region", F.pmod(draw, F.lit(PIVOTS)).cast("int").alias("slot")).agg(F.min_by("node", draw).alias("node"))
+    pivots = members.select("region", "id", "node", "grams", "total").join(drawn, ["region", "node"])
+    keys = F.greatest(F.ceil(F.col("total") / REGION), F.lit(1)).cast("int")
+    listed = pivots.groupBy("region").agg(F.array_sort(F.collect_list(F.struct("slot", "id", "node", "grams"))).alias("pivots"), F.max(keys).alias("keys"))
+    listed = listed.withColumn("key", F.explode(F.sequence(F.lit(0), F.col("keys") - 1))).drop("keys")
+    dealt = members.withColumn("key", F.pmod(F.xxhash64("node"), keys).cast("int"))
+
+    def distance(p):
+        # The number of common n-grams is a lambda's argument, so that it is counted once.
+        common = F.array(F.size(F.array_intersect("grams", p["grams"])))
+        both = lambda x: F.struct(p["slot"].alias("slot"), p["id"].alias("id"), (1 - x / (F.size("grams") + F.size(p["grams"]) - x)).alias("d"), (100 * x >= percent * (F.size("grams") + F.size(p["grams"]) - x)).alias("linked"))
+        return F.transform(common, both)[0]
+
+    both = dealt.join(listed, ["region", "key"])
+    done = F.exists("pivots", lambda p: p["node"] == F.col("node"))
+    return both.select("region", "id", "node", "grams", "total", "main", F.transform("pivots", distance).alias("ds"), done.alias("done"))
+
+
+def _mains(near: DataFrame) -> DataFrame:
+    """(region, main_bits): of the groups that pivots (bits by slot) and the main group so far (one more bit) form by common members, the largest."""
+    old = 1 << PIVOTS
+    counts = near.groupBy("region", "bits").agg(F.count("*").alias("n")).filter("bits > 0")
+    seen = counts.groupBy("region").agg(F.collect_list(F.struct("bits", "n")).alias("seen"))  # 2 ** (PIVOTS + 1) at most
+    met = lambda a, m: F.when(a.bitwiseAND(m["bits"]) != 0, a.bitwiseOR(m["bits"])).otherwise(a)
+    start = F.array(*(F.lit(1 << i) for i in range(PIVOTS)), F.lit(old))
+    whole = F.transform(start, lambda b: F.aggregate(F.sequence(F.lit(0), F.lit(PIVOTS)), b, lambda a, _: F.aggregate("seen", a, met)))
+    sized = F.transform(whole, lambda g: F.struct(F.aggregate("seen", F.lit(0).cast("bigint"), lambda n, m: n + F.when(m["bits"].bitwiseAND(g) != 0, m["n"]).otherwise(0)).alias("n"), (-g).alias("g")))
+    return seen.select("region", (-F.array_max(sized)["g"]).alias("main_bits"))
+
+
+def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Regions in which every document outside the main group meets every other one and every document of the main group."""
+    blocks = lambda c: F.greatest(F.ceil(2 * F.col(c) / REGION), F.lit(1)).cast("int")
+    rows = members.join(sizes.select("region", blocks("moving").alias("ours"), blocks("total").alias("all")), "region")
+    at = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
+    pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("ours") - 1), lambda i: pair(i, at("all")))
+    meets = F.when(F.col("main"), meets).otherwise(F.concat(meets, F.transform(F.sequence(F.lit(0), F.col("all") - 1), lambda j: pair(at("ours"), j))))
+    rows = rows.withColumn("pair", F.explode(meets))
+    return rows.select(F.xxhash64("region", "pair.i", "pair.j").alias("region"), "id", "node", "grams", "main")
+
+
+def _sizes(members: DataFrame) -> DataFrame:
+    size = F.size("grams").cast("bigint")
+    return members.groupBy("region").agg(F.sum(size).alias("total"), F.sum(F.when(~F.col("main"), size).otherwise(0)).alias("moving"), F.count("*").alias("members"))
 
 
 def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -442,8 +478,8 @@ def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "d
     total = info.agg(F.sum("n_shingles")).first()[0] or 0
     clusters = stored(components(candidate_edges(df, n, percent, common_grams(info), 1 + total // PART, text_col)))
     firsts = info.filter("gram is null and n_shingles > 0 and id is not null").groupBy("set_id", "node").agg(F.min("id").alias("id"))
-    chosen = firsts.join(clusters, "node").select("id", "set_id", F.col("label").alias("region"))
-    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("region", "id", "set_id", "text")
+    chosen = firsts.join(clusters, "node").select("id", "set_id", "node", F.col("label").alias("region"))
+    texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("region", "id", "node", "set_id", "text")
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -452,25 +488,40 @@ def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "d
             sets = ngram_sets(batch.column("text").to_pylist(), n)
             same = [i for i, (s, x) in enumerate(zip(sets, batch.column("set_id").to_pylist())) if _set_id(s) == x]
             kept = batch.take(pa.array(same, pa.int64()))
-            yield pa.RecordBatch.from_arrays([kept.column("region"), kept.column("id"), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["region", "id", "grams"])
+            yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("region", "id", "node")), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["region", "id", "node", "grams"])
 
-    active = stored(texts.mapInArrow(tidy(run), "region bigint, id bigint, grams array<bigint>"))
-    out = None
+    active = stored(texts.mapInArrow(tidy(run), "region bigint, id bigint, node bigint, grams array<bigint>")).withColumn("main", F.lit(False))
+    window = F.lit(2 * (100 - percent) / 100 + 1e-9)
+    out = []
     for round_ in range(CUTS + 1):
-        sizes = stored(active.groupBy("region").agg(F.sum(F.size("grams").cast("bigint")).alias("total")))
-        large = sizes.filter(F.col("total") > REGION)
-        here = active.join(large, "region", "left_anti") if (some := large.agg(F.count("*"), F.sum("total")).first())[0] else active
-        found = _joined(here, percent)
-        out = found if out is None else out.union(found)
-        if not some[0]:
+        sizes = stored(_sizes(active))
+        large = sizes.filter((F.col("total") > REGION) | (F.col("members") > MEMBERS))
+        some = large.count()
+        out.append(_joined(active.join(large, "region", "left_anti") if some else active, percent))
+        if not some:
             break
-        rest = active.join(large, "region", "left_semi")
-        cut = stored(_cut(rest, percent, round_)) if round_ < CUTS else None
-        if cut is None or (cut.agg(F.sum(F.size("grams").cast("bigint"))).first()[0] or 0) > 2 * some[1]:
-            out = out.union(_joined(_tiles(rest, large), percent))
+        rest = active.join(large.select("region", "total"), "region")
+        if round_ == CUTS:
+            out.append(_joined(_blocks(rest, large), percent))
             break
-        active = cut
-    return out
+        bits = F.aggregate(F.filter("ds", lambda p: p["linked"]), F.lit(0), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", F.lit(1), p["slot"])))
+        near = stored(_measured(rest, percent, round_).withColumn("bits", bits + F.when(F.col("main"), 1 << PIVOTS).otherwise(0)))
+        out.append(near.select(F.col("id").alias("a"), F.explode(F.filter("ds", lambda p: p["linked"])).alias("p")).select("a", F.col("p.id").alias("b")).filter("a <> b"))
+        left = near.filter("not done").join(_mains(near), "region", "left").withColumn("main", F.coalesce(F.col("bits").bitwiseAND(F.col("main_bits")) != 0, F.lit(False)))
+        least = F.array_min(F.transform("ds", lambda p: F.struct(p["d"].alias("d"), p["slot"].alias("slot"))))
+        left = left.withColumn("least", least)
+        goes = F.when(F.col("main"), F.array("least.slot")).otherwise(F.transform(F.filter("ds", lambda p: p["d"] <= F.col("least.d") + window), lambda p: p["slot"]))
+        left = left.withColumn("goes", goes)
+        grown = left.groupBy("region").agg(F.sum(F.size("grams").cast("bigint") * F.size("goes")).alias("after"), F.max("total").alias("before"))
+        dense = stored(grown.filter(F.col("after") > F.lit(GROWTH) * F.col("before")).select("region"))
+        if dense.count():
+            apart = left.join(dense, "region", "left_semi").select("region", "id", "node", "grams", "main")
+            out.append(_joined(_blocks(apart, _sizes(apart)), percent))
+            left = left.join(dense, "region", "left_anti")
+        cut = left.withColumn("slot", F.explode("goes")).select(F.xxhash64("region", "slot", F.lit(round_)).alias("region"), "id", "node", "grams", "main")
+        open_ = cut.filter("not main").select("region").distinct()
+        active = stored(cut.join(open_, "region", "left_semi"))
+    return functools.reduce(DataFrame.union, out)
 
 
 def groups(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

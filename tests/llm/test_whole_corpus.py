@@ -63,21 +63,51 @@ def test_groups(spark, n, percent):
     assert 5 < len({c for _, c in got.values()}) < len(rows)
 
 
-@pytest.mark.parametrize("cuts", [0, 2])
-def test_large_regions_are_cut(spark, monkeypatch, cuts):
-    """Voronoi cuts and tiles give the same groups as one region."""
+@pytest.mark.parametrize(("cuts", "growth"), [(0, 1.5), (3, 1.5), (2, 100), (2, 0)])
+def test_large_regions_are_cut(spark, monkeypatch, cuts, growth):
+    """Voronoi cuts, cuts that grow, and blocks alone give the same groups as one region."""
     monkeypatch.setattr(jaccard, "REGION", 600)
+    monkeypatch.setattr(jaccard, "MEMBERS", 20)
     monkeypatch.setattr(jaccard, "CUTS", cuts)
-    rng = random.Random(9)
+    monkeypatch.setattr(jaccard, "GROWTH", growth)
+    rng = random.Random(9 + cuts)
     base = [f"w{i}" for i in range(60)]
     rows = []
-    for i in range(60):
+    for i in range(90):
         words = list(base)
         for _ in range(rng.randint(0, 3)):
             words[rng.randrange(60)] = f"e{rng.randrange(10**6)}"
         rows.append((i, " ".join(words)))
+    rows += [(200 + i, f"a b c d{i % 9}") for i in range(30)]
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()}
     assert got == brute(rows, 3, 90)
+    assert 3 < len({c for _, c in got.values()}) < len(rows)
+
+
+def test_main_group_is_the_largest(spark):
+    """Bits 0 and 1 meet in a member, bit 2 has more members than either but not than both, and the old main group is bit 8."""
+    rows = [(1, 0b01)] * 2 + [(1, 0b10)] * 2 + [(1, 0b11)] + [(1, 0b100)] * 4 + [(1, 0)] * 9 + [(2, 0)] + [(3, 1 << jaccard.PIVOTS)] * 3 + [(3, 1)]
+    got = {r.region: r.main_bits for r in jaccard._mains(spark.createDataFrame(rows, "region bigint, bits int")).collect()}
+    assert got == {1: 0b11, 3: 1 << jaccard.PIVOTS}
+
+
+def test_one_id_with_several_texts(spark):
+    """Texts of one id are sets of their own, of equal size and with the same smallest n-gram too, and tie what links to them."""
+    rng = random.Random(3)
+    a = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(12):
+        b = list(a)
+        b[rng.randrange(50, 150)] = f"x{k}"
+        c, d = list(a), list(b)
+        for i in range(4):
+            c[5 + 2 * i] = f"c{k}{i}"
+            d[180 + 2 * i] = f"d{k}{i}"
+        words = lambda t: " ".join(f"k{k}{w}" for w in t)  # noqa: E731, B023
+        rows += [(100 * k + 5, words(a)), (100 * k + 5, words(b)), (100 * k + 9, words(c)), (100 * k + 10, words(d))]
+    found = jaccard.groups(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 90).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: c for i, (_, c) in brute(rows, 3, 90).items()}
+    assert {r.component_id % 100 for r in found} == {5} and {r.n_shingles for r in found} == {198}
 
 
 def test_odd_groups(odd, empty):
@@ -164,6 +194,46 @@ def test_permutation(spark, n):
     assert sorted(got) == list(range(n)) and (n < 10 or got != sorted(got))
 
 
+def test_shard_counts_are_drawn(spark, corpus):
+    """Counts by source and shard are draws of a multinomial: totals as the targets say, spread as chance has it, ranges without gaps; the mix by
+    shard follows them."""
+    sources = spark.createDataFrame([("a", 400_000, 600_000.0), ("b", 50_000, 60_000.5), (None, 3_000, 3_000.0), ("none", 0, 0.0)], "source string, source_size bigint, target double")
+    counts = mixing.shard_counts(sources, block=32, shard_blocks=512).collect()
+    by = defaultdict(list)
+    for r in counts:
+        by[r.source].append((r.shard, r["first"], r.n))
+    shards = -(-663_001 // (32 * 512))
+    assert set(by) == {"a", "b", None}
+    for name, rows in by.items():
+        rows.sort()
+        at = 0
+        for _, first, n in rows:
+            assert first == at
+            at += n
+        held = np.array([n for _, _, n in rows] + [0] * (shards - len(rows)))
+        chi = ((held - at / shards) ** 2 / (at / shards)).sum()
+        assert shards / 3 < chi < 3 * shards, (name, chi)
+    assert sum(n for _, _, n in by["a"]) == 400_000 // 32 + 200_000 // 32
+    assert sorted(map(str, counts)) == sorted(map(str, mixing.shard_counts(sources.repartition(3), block=32, shard_blocks=512).collect()))
+    assert sorted(map(str, counts)) != sorted(map(str, mixing.shard_counts(sources, seed=7, block=32, shard_blocks=512).collect()))
+    deal = mixing.slots(sources, block=32, shard_blocks=512)
+    held = {(r.source, r.shard): (r.n, r.least, r.most) for r in deal.groupBy("source", "shard").agg(F.count("*").alias("n"), F.min("slot").alias("least"), F.max("slot").alias("most")).collect()}
+    assert held == {(r.source, r.shard): (r.n, 0, r.n - 1) for r in counts}
+    assert deal.groupBy("source", "pass", "block").count().filter("count > 1").count() == 0
+
+
+def test_mix_by_shard(corpus, monkeypatch):
+    monkeypatch.setattr(mixing.slots, "__defaults__", (0, 16, 8))
+    monkeypatch.setattr(mixing.segments, "__defaults__", (0, 16))
+    rows = mixing.mix(corpus).collect()
+    assert all(sum(s.words for s in r.shards) == r.taken for r in rows)
+    words = Counter()
+    for r in rows:
+        for s in r.shards:
+            words[s.shard] += s.words
+    assert len(words) == -(-sum(r.taken for r in rows) // (16 * 8)) and min(words.values()) > 16
+
+
 def test_mixed_documents(corpus, empty):
     out = mixing.mixed_documents(corpus)
     assert out.columns == corpus.columns
@@ -248,14 +318,19 @@ def test_pipeline(spark, pipeline_folder, odd):
 
 
 def test_pipeline_stages_take_odd_rows(spark, pipeline_folder, odd, empty):
+    """Columns named like inner ones keep their values through every stage but the last."""
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    for df in (odd.drop("score"), empty):
+    clash = [c for c in odd.columns if c not in ("doc_id", "text", "lang", "source", "n_chars")]
+    for df in (odd, empty):
         for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, df, pipeline_folder)
-            rows = out.count()
-            assert rows <= 2 * df.count(), name
+            found = stage(spark, df, pipeline_folder)
+            rows = found.collect()
+            assert len(rows) <= 2 * df.count(), name
             if stage is not corpus_pipeline.STAGES[-1][1]:
-                assert out.columns == df.columns
+                assert found.columns == df.columns and found.dtypes == df.dtypes, name
+                assert all(r[c] == c for r in rows for c in clash), name
+            if name in ("language ID", "toxicity", "n-gram Jaccard join"):
+                assert {tuple(r) for r in rows} <= {tuple(r) for r in df.collect()}, name
     kept = corpus_pipeline.near_duplicates(spark, odd, pipeline_folder)
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [1, 3, 4, 5, 6, 7, 8, 9, None, None]))
 
