@@ -267,14 +267,15 @@ def dedup_first_wins(spark, sf_dir):
 
 
 @query("""with f as (select conv_id, role, min(turn) as t, count(*) as n from conversations group by 1, 2)
-select conv_id, string_agg(role, ' | ' order by t) as roles, string_agg(role, ' | ' order by role) as queues, sum(n)::bigint as turns from f group by 1""")
+select conv_id, string_agg(role, ' / ' order by t) as roles, sum(n)::bigint as turns from f where role not in ('', '-') group by 1""")
 def ordered_distinct_concat(spark, sf_dir):
-    """Speakers of each conversation in order of appearance, and sorted."""
-    turns = _table(spark, sf_dir, "conversations")
+    """Speakers of each conversation in order of appearance."""
+    turns = _table(spark, sf_dir, "conversations").filter("role not in ('', '-')")
     # Speakers are counted before they are listed, so that a long conversation stays small.
     first = turns.groupBy("conv_id", "role").agg(F.min("turn").alias("turn"), F.count("*").alias("n"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
-    return first.groupBy("conv_id").agg(F.array_join(F.array_distinct(listed), " | ").alias("roles"), F.array_join(F.array_sort(F.collect_set("role")), " | ").alias("queues"), F.sum("n").alias("turns"))
+    listed = first.groupBy("conv_id").agg(F.concat(listed, F.array(F.lit(""), F.get(listed, F.lit(0)))).alias("listed"), F.sum("n").alias("turns"))
+    return listed.select("conv_id", T.combine_unique_all(F.col("listed")).alias("roles"), "turns")
 
 
 @query("""with h as (select source, sum((contains(text, 'thing'))::int) as a, sum((contains(text, 'ung') or contains(text, 'keit'))::int) as b, sum((contains(text, 'que'))::int) as c from documents group by 1),
@@ -472,6 +473,152 @@ def scan_records(spark, sf_dir):
     rows = _order_grids(spark, sf_dir).select("doc_id", "page", "row", "cells")
     return scans.records(rows).select("doc_id", "source_row", "work_type", "item_name", "quantity", "extraction_confidence")
 
+def _cells_of(rows: DataFrame, heads: list[str]) -> DataFrame:
+    """One grid for each doc_id and page of (doc_id, page, page_text, row, cells), with a header row 0."""
+    first = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("row")) == 1
+    line = lambda row, cells: F.struct(row.alias("row"), cells.alias("cells"))
+    head, own = line(F.lit(0), F.array(*(F.lit(x) for x in heads))), line(F.col("row"), F.col("cells"))
+    both = rows.withColumn("lines", F.when(first, F.array(head, own)).otherwise(F.array(own)))
+    return both.select("doc_id", "page", "page_text", F.lit(0).alias("table_idx"), F.inline("lines"))
+
+
+def _kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders in turn, as rows of four kinds (k)."""
+    row = F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("doc_id"), "o_orderkey", row.cast("int").alias("row"))
+    digest = F.floor(F.col("o_orderkey") / 4)
+    return o.withColumns({"k": digest % 4, "a": digest % 3, "q": (digest % 7 + 1).cast("double")})
+
+
+_KINDS = """with o as (select o_custkey::varchar as doc_id, o_orderkey, (row_number() over (partition by o_custkey order by o_orderkey))::int as r, (o_orderkey // 4) % 4 as k, (o_orderkey // 4) % 3 as a, ((o_orderkey // 4) % 7 + 1)::double as q from orders)
+"""
+
+
+@query(_KINDS + """, e as (
+  select *, case when k = 0 then 'W' || a else '' end as w, case k when 0 then 'C' || a when 2 then 'D' || a else '' end as n, case k when 0 then 's' || a when 1 then 'p' || (o_orderkey % 5) when 2 then '' else '' end as s from o
+), g as (
+  select *, sum((k <> 1)::int) over t as grp, count(nullif(w || n || s, '')) over t as m, last_value(nullif(w, '') ignore nulls) over t as work, last_value(nullif(n, '') ignore nulls) over t as name
+  from e window t as (partition by doc_id order by r rows unbounded preceding)
+), c as (
+  select *, first_value(s) over (partition by doc_id, m order by r) as inside from g
+), f as (
+  select doc_id, grp, string_agg(s, ' / ' order by r) as following from (select doc_id, grp, s, min(r) as r from c where k = 1 group by all) group by all
+)
+select c.doc_id, r + 1 as source_row, coalesce(work, '') as work_type, name as item_name, concat_ws(' / ', nullif(inside, ''), f.following) as specification, q as quantity, f.following is not null as joined
+from c left join f on f.doc_id = c.doc_id and f.grp = c.grp where k <> 1 and name is not null""")
+def grid_inline(spark, sf_dir):
+    """Records of tables whose specification stands behind the name, and goes on in the rows below."""
+    k, a = F.col("k"), F.col("a").cast("string")
+    work, name = F.when(k == 0, F.concat(F.lit("W"), a)), F.when(k == 0, F.concat(F.lit("C"), a)).when(k == 2, F.concat(F.lit("D"), a))
+    detail = F.when(k == 0, F.concat(F.lit("s"), a)).when(k == 1, F.concat(F.lit("p"), (F.col("o_orderkey") % 5).cast("string")))
+    body = F.when(k != 1, F.lit("m2")), F.when(k != 1, F.col("q").cast("string"))
+    rows = _kinds(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), F.lit("数量総括表").alias("page_text"), "row", F.array(work, name, detail, *body, F.lit("")).alias("cells"))
+    found = grids.records(_cells_of(rows, ["工種", "種別", "細目", "単位", "数量", "摘要"]))
+    return found.select("doc_id", "source_row", "work_type", "item_name", "specification", "quantity", F.array_contains("extraction_warnings", grids.JOINED_WARNING).alias("joined"))
+
+
+@query(_KINDS + """, p as (
+  select *, ((r - 1) // 6 + 1)::int as page, case when ((r - 1) // 6) % 3 = 2 then 'Y' else 'X' end as scope from o
+), t as (
+  select *, sum((lag_scope is distinct from scope)::int) over (partition by doc_id order by r rows unbounded preceding) as part from (select *, lag(scope) over (partition by doc_id order by r) as lag_scope from p)
+), h as (
+  select *, last_value(case when k = 0 then 'H' || a end ignore nulls) over w as category, sum((k = 0)::int) over w as sect from t window w as (partition by doc_id, part order by r rows unbounded preceding)
+), i as (
+  select *, last_value(case when k = 1 then 'I' || a end ignore nulls) over w as item, last_value(case when k = 1 then 'q' || a when k = 2 then 'r' || a end ignore nulls) over w as qualifier
+  from h window w as (partition by doc_id, part, sect order by r rows unbounded preceding)
+)
+select doc_id, page as source_page, (r + 1)::int as source_row, scope as work_type, coalesce(category, '') as category, item as item_name, qualifier as specification, q as quantity from i where k <> 0 and item is not null""")
+def grid_type(spark, sf_dir):
+    """Records of tables with headings, over pages whose titles name the work."""
+    k, a = F.col("k"), F.col("a").cast("string")
+    name = F.when(k == 0, F.concat(F.lit("H"), a)).when(k == 1, F.concat(F.lit("I"), a))
+    second = F.when(k == 1, F.concat(F.lit("q"), a)).when(k == 2, F.concat(F.lit("r"), a))
+    rows = _kinds(spark, sf_dir).withColumn("page", F.floor((F.col("row") - 1) / 6).cast("int") + 1)
+    title = F.concat(F.when((F.col("page") - 1) % 3 == 2, "Y").otherwise("X"), F.lit("数量総括表"))
+    rows = rows.select("doc_id", "page", title.alias("page_text"), "row", F.array(name, second, F.lit(None).cast("string"), F.when(k != 0, F.lit("m2")), F.when(k != 0, F.col("q").cast("string"))).alias("cells"))
+    found = grids.records(_cells_of(rows, ["種別", "", "規格", "単位", "数量"]))
+    return found.select("doc_id", "source_page", "source_row", "work_type", "category", "item_name", "specification", "quantity")
+
+
+@query("""with p as (select page_id, page_id // 40 as doc, starts_with(url, 'https') as shape, page_id % 5 = 0 as summary, page_id % 5 <> 0 and page_id % 7 = 3 as detail from pages where page_id % 11 <> 4),
+s as (select *, last_value(case when summary then shape end ignore nulls) over (partition by doc order by page_id rows unbounded preceding) as led from p),
+f as (select * from s where summary or (not detail and shape = led)),
+n as (select *, summary or coalesce(page_id - lag(page_id) over (partition by doc order by page_id) > 1, true) as new from f),
+g as (select *, sum(new::int) over (partition by doc order by page_id rows unbounded preceding) as island from n)
+select doc::varchar as doc_id, page_id::int as source_page from (select *, first_value(summary) over (partition by doc, island order by page_id) as ok from g) where ok""")
+def grid_pages(spark, sf_dir):
+    """Pages whose tables are read: summaries, and what continues them in the same shape."""
+    p = _table(spark, sf_dir, "pages").filter("page_id % 11 <> 4")
+    n = F.col("page_id")
+    text = F.when(n % 5 == 0, "数量総括表").when(n % 7 == 3, "数量計算書").otherwise("続き")
+    p = p.select((F.floor(n / 40)).cast("string").alias("doc_id"), n.cast("int").alias("page"), text.alias("page_text"), F.col("url").startswith("https").alias("wide"))
+    heads, row = ["種別", "規格", "単位", "数量"], [F.lit("a"), F.lit(""), F.lit("m"), F.lit("1")]
+    line = lambda i, cells: F.struct(F.lit(i).alias("row"), F.when(F.col("wide"), F.array(*cells, F.lit(""))).otherwise(F.array(*cells)).alias("cells"))
+    rows = p.select("doc_id", "page", "page_text", F.lit(0).alias("table_idx"), F.inline(F.array(line(0, [F.lit(x) for x in heads]), line(1, row))))
+    return grids.records(rows).select("doc_id", "source_page")
+
+
+@query(_KINDS + """, e as (select *, case when k = 0 then 'I' || a else '' end as i, case when k in (0, 2) then 's' || a when k = 1 and a > 0 then 'p' || a else '' end as s, case when k in (0, 2) then q end as n from o),
+c as (select *, k = 1 and s <> '' as lone, last_value(nullif(i, '') ignore nulls) over w as item from e window w as (partition by doc_id order by r rows unbounded preceding)),
+b as (select *, max(case when not lone then r end) over (partition by doc_id order by r rows unbounded preceding) as at from c),
+h as (select b.*, case when lone then b.item is not null and (coalesce(x.item is not null and x.n is not null, false) <> ((b.r - coalesce(b.at, 0)) % 2 = 1)) else b.item is not null and b.n is not null end as has
+  from b left join (select doc_id as d, r as ar, item, n from c) x on x.d = b.doc_id and x.ar = b.at)
+select doc_id, (r + 1)::int as source_row, item as item_name, concat_ws(' / ', nullif(s, ''), case when next_lone then next_s end) as specification, n as quantity from (
+  select *, lead(lone) over w as next_lone, lead(s) over w as next_s from h window w as (partition by doc_id order by r)) where has""")
+def scan_series(spark, sf_dir):
+    """Records of scans with series of lone specifications, every second one of which goes to the record above."""
+    k, a = F.col("k"), F.col("a").cast("string")
+    counts = k.isin(0, 2)
+    spec = F.when(counts, F.concat(F.lit("s"), a)).when((k == 1) & (F.col("a") > 0), F.concat(F.lit("p"), a))
+    cells = F.array(F.lit("W"), F.lit(""), F.when(k == 0, F.concat(F.lit("I"), a)), spec, F.when(counts, F.lit("m2")), F.when(counts, F.col("q").cast("string")), F.lit(""))
+    blank = F.transform(cells, lambda x, i: F.when((i == 0) & ~counts, F.lit("")).otherwise(F.when(i == 0, F.lit("")).otherwise(x)))
+    rows = _cells_of(_kinds(spark, sf_dir).select("doc_id", F.lit(1).alias("page"), F.lit("").alias("page_text"), "row", blank.alias("cells")), ["工種", "種別", "細別", "規格", "単位", "数量", "備考"])
+    return scans.records(rows.drop("page_text", "table_idx")).select("doc_id", "source_row", "item_name", "specification", "quantity")
+
+
+@query("""with p as (select p_partkey, p_size % 6 as k, p_partkey % 100 as n, p_name as t from part)
+select p_partkey, case k when 0 then n + 0.5 when 1 then n when 2 then -n when 3 then null when 4 then n * 1000 + 5 else n end::double as first_quantity,
+  t as hierarchy_label, t || ' / ' || t || 'x' as note, t || ' / y' as combined, replace(t, ' ', '') as compacted,
+  case when k < 3 then '第' || n || '工区' else '本工事費' end as section, t as file_project, case when k = 0 then '' else t end as title_project,
+  k % 2 = 0 as summary_page, k = 3 as detail_page, case when k < 3 then 'scope' || n else '' end as scope,
+  make_date(2000 + (n % 30)::int, (k + 1)::int, 5) as day, ['old'] || case when k > 2 then ['new'] else [] end as warnings, round(case when k = 0 then 0 else 2.0 * least(k, 3) / (k + 3) end, 9)::double as dice from p""")
+def text_functions(spark, sf_dir):
+    """Labels, notes, titles, dates, page tests and the Dice coefficient, over texts made from part names."""
+    part = _table(spark, sf_dir, "part")
+    k, n, t = F.col("p_size") % 6, F.col("p_partkey") % 100, F.col("p_name")
+    pick = lambda *xs: F.element_at(F.array(*xs), (k + 1).cast("int"))
+    number = pick(F.concat(F.lit("約"), n, F.lit(".5m")), F.concat(n, F.lit(" (7)")), F.concat(F.lit("-"), n), F.lit("―"), F.concat(n, F.lit(",005 kg")), n.cast("string"))
+    numbered = pick(F.concat(F.lit("(3) "), t), F.concat(F.lit("§ 1.2. "), t), F.concat(F.lit("12 "), t), t, F.concat(F.lit("（1-2）"), t), F.concat(F.lit("3:"), t))
+    sheet = F.when(k < 3, F.concat(F.lit("設計数量総括表(第"), n, F.lit("工区)"))).otherwise(F.lit("表"))
+    title = pick(F.lit("目次"), F.concat(F.lit("設計書名: "), t), F.concat(F.lit("数量総括表（"), t, F.lit("）")), F.concat(F.lit("§3 設計数量総括表 "), t), F.concat(t, F.lit(" 数量総括表")), F.concat(F.lit("設計書名："), t))
+    page = F.when(k % 2 == 0, "数量 総括表").when(k == 3, "詳細計算").otherwise("x")
+    scoped = F.array(F.lit("a"), F.when(k < 3, F.concat(F.lit("第2. scope"), n, F.lit(" 数量集計表(1)"))).otherwise("b"))
+    ones = lambda m: F.transform(F.sequence(F.lit(1), F.lit(6)), lambda i: (i <= m).cast("int"))
+    return part.select(
+        "p_partkey", T.first_quantity(T.clean(number)).alias("first_quantity"), T.hierarchy_label(T.clean(numbered)).alias("hierarchy_label"), T.note(t, F.lit(""), F.concat(t, F.lit("x"))).alias("note"),
+        T.combine_unique(t, F.lit("―"), t, F.lit(""), F.lit("y")).alias("combined"), T.compact(t).alias("compacted"), T.section_of_sheet(T.clean(sheet)).alias("section"),
+        T.project_of_file(F.concat(F.lit("03_"), t, F.lit("(数量計算書)"))).alias("file_project"), T.project_of_title(T.label(T.clean(title))).alias("title_project"), T.is_summary_page(page).alias("summary_page"),
+        T.is_detail_page(F.array(F.lit("y"), page)).alias("detail_page"), T.title_and_scope(scoped)[1].alias("scope"), T.iso_date(F.concat_ws("-", F.lit(2000) + n % 30, F.lpad((k + 1).cast("string"), 2, "0"), F.lit("05"))).alias("day"),
+        T.add_warning(T.add_warning(F.array(F.lit("old")), "new", k > 2), "old", F.lit(True)).alias("warnings"), F.round(T.dice(ones(k), ones(F.lit(3))), 9).alias("dice"),
+    )
+
+
+@query("""select 'unit' as queue, 'b' || (o_custkey % 10) || '.xlsx' as workbook, (min(o_orderkey) % 1000)::int as min_key, count(*)::bigint as n, count(*) filter (o_orderpriority like '1%' and o_orderstatus <> 'P')::bigint as urgent, sum(o_orderkey)::bigint as rows_ from orders
+where o_orderkey >= 7 and (o_orderstatus <> 'P' or o_custkey % 2 = 0) group by o_custkey % 10""")
+def review_list(spark, sf_dir):
+    """Review rows of exported lists: the first sheet that isn't the settings, from row 7 on, with a name or a message."""
+    o = _table(spark, sf_dir, "orders")
+    cell = lambda sheet, c, s: F.struct(F.lit(sheet[0]).alias("sheet_idx"), F.lit(sheet[1]).alias("sheet"), F.lit(c).alias("col"), s.cast("string").alias("text"))
+    first, second = (1, "一覧"), (2, "次")
+    cells = F.array(
+        cell((0, "設定"), 2, F.lit("no")), cell(first, 2, F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority")).otherwise("")), cell(first, 50, F.when(F.col("o_custkey") % 2 == 0, "m").otherwise("")),
+        cell(first, 17, F.lit("s")), cell(second, 2, F.lit("no")),
+    )
+    book = F.concat(F.lit("x/b"), F.col("o_custkey") % 10, F.lit(".xlsx"))
+    rows = o.select(book.alias("doc_id"), book.alias("source_file"), F.col("o_orderkey").cast("int").alias("row"), F.inline(cells))
+    found = reconcile.review_rows(rows, "unit")
+    return found.groupBy("queue", "workbook").agg((F.min("row") % 1000).cast("int").alias("min_key"), F.count("*").alias("n"), F.sum(F.col("name").startswith("1").cast("bigint")).alias("urgent"), F.sum("row").alias("rows_"))
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _FOUND.items()}
