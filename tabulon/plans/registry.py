@@ -328,7 +328,22 @@ def _sides(spark: SparkSession, sf_dir: str, one_class: bool) -> tuple[DataFrame
     return source, reviews
 
 
-@query()
+_GREEDY = """with recursive s as (
+  select lpad(o_orderkey::varchar, 12, '0') as ord, o_custkey as name, o_orderstatus as spec, row_number() over (partition by o_custkey order by o_orderkey) as place from orders
+), r as (
+  select lpad(event_id::varchar, 12, '0') as ord, case when event_type = 'error' then 'unit' else 'work' end as queue, user_id as name, case when event_type = 'view' then 'F' else 'O' end as spec,
+    row_number() over (partition by event_type = 'error', user_id order by event_id) as k from events
+), g as (
+  select distinct queue, name, 0::bigint as k, []::varchar[] as taken, null::varchar as r_ord, null::varchar as s_ord from r
+  union all
+  select queue, name, k, case when list_contains(taken, pick) then taken else list_append(taken, pick) end, r_ord, pick from (
+    select g.queue, g.name, r.k, any_value(g.taken) as taken, r.ord as r_ord, arg_min(s.ord, (list_contains(g.taken, s.ord)::bigint * 2 + (s.spec <> r.spec)::bigint) * 1000000 + s.place) as pick
+    from g join r on r.queue = g.queue and r.name = g.name and r.k = g.k + 1 join s on s.name = g.name group by g.queue, g.name, r.k, r.ord)
+)
+select r_ord, s_ord from g where r_ord is not null"""
+
+
+@query(_GREEDY)
 def reconcile_greedy(spark, sf_dir):
     """Source row of each review row, best score first."""
     return reconcile.assign(*_sides(spark, sf_dir, one_class=False))
@@ -619,6 +634,45 @@ def review_list(spark, sf_dir):
     found = reconcile.review_rows(rows, "unit")
     return found.groupBy("queue", "workbook").agg((F.min("row") % 1000).cast("int").alias("min_key"), F.count("*").alias("n"), F.sum(F.col("name").startswith("1").cast("bigint")).alias("urgent"), F.sum("row").alias("rows_"))
 
+@query(_KINDS + """, e as (select *, last_value(case when k = 0 then 'W' || a end ignore nulls) over w as l2, sum((k = 0)::int) over w as part from o window w as (partition by doc_id order by r rows unbounded preceding)),
+f as (select *, last_value(case when k = 1 then 'C' || a end ignore nulls) over (partition by doc_id, part order by r rows unbounded preceding) as l3 from e)
+select doc_id, (4 * r)::bigint as source_row, coalesce(l2, '') as level2, coalesce(l3, '') as level3, 'N' || a as item_name, case when a = 2 then 'c' || a || ' / d' else 'c' || a end as specification,
+  case when a = 0 then 'CB4102' || lpad((o_orderkey % 100)::varchar, 2, '0') else '' end as code, (case when k = 3 then 5 else 4 end)::bigint as item_column,
+  case when a = 1 then '施工' else '' end as reference_type, case when a = 1 then '施工 第 1' else '' end as reference_text from f where k >= 2""")
+def catalog_entries(spark, sf_dir):
+    """Entries of detail sheets: levels named by markers in the row below, and items with their conditions."""
+    k, a, none = F.col("k"), F.col("a").cast("string"), F.lit(None).cast("string")
+    cell = lambda down, c, s, n=False: F.struct(F.lit(down).alias("down"), F.lit(c).alias("col"), s.cast("string").alias("text"), F.lit("n" if n else "s").alias("vtype"))
+    code = F.when(F.col("a") == 0, F.concat(F.lit("[CB4102"), F.lpad((F.col("o_orderkey") % 100).cast("string"), 2, "0"), F.lit("]"))).otherwise(none)
+    item = [cell(0, 4, F.concat(F.lit("N"), a)), cell(0, 8, F.lit("1"), True), cell(0, 10, F.lit("m")), cell(0, 13, code), cell(1, 4, F.concat(F.lit("c"), a)), cell(1, 5, F.when(F.col("a") == 2, "d")), cell(1, 13, F.when(F.col("a") == 1, "施工 第 1"))]
+    deep = [cell(0, 4, none), cell(0, 5, F.concat(F.lit("N"), a)), *item[1:]]
+    of = F.when(k == 0, F.array(cell(0, 2, F.concat(F.lit("W"), a)), cell(1, 13, F.lit("工種行")))).when(k == 1, F.array(cell(0, 3, F.concat(F.lit("C"), a)), cell(1, 13, F.lit("種別行")))).when(k == 2, F.array(*item)).otherwise(F.array(*deep))
+    rows = _kinds(spark, sf_dir).withColumn("base", F.col("row") * 4).select("doc_id", "base", F.inline(of)).filter("text is not null")
+    cells = rows.select("doc_id", F.col("doc_id").alias("source_file"), F.lit(0).alias("sheet_idx"), F.lit(C.SHEET).alias("sheet"), (F.col("base") + F.col("down")).alias("row"), "col", "vtype", "text")
+    return C.entries(cells).select("doc_id", "source_row", "level2", "level3", "item_name", "specification", "code", "item_column", "reference_type", "reference_text")
+
+
+_HEADER_SQL = ", ".join(f"({r}, {c}, '{t}', null::double)" for r, c, t in layout.HEADER)
+
+
+@query(_BLOCKS + f""", z as (select *, (block // 9)::int as page, (block % 9)::int as slot, (1 + (block // 9) * 40 + 3 + (block % 9) * 4)::int as top from b),
+w as (
+  select r_name, 1 + page * 40 + v.r as row_, v.c as col_, v.t as text, v.n as number from z, (values {_HEADER_SQL}) v(r, c, t, n) where slot = 0
+  union all select r_name, 2 + page * 40, 13, null, (page + 2)::double from z where slot = 0
+  union all select r_name, top, case level when 'fee' then 1 when 'work' then 2 when 'category' then 3 when 'subcategory' then 4 when 'specification_group' then 5 else least(greatest(c_custkey % 9, 4), 6) end, value, null from z
+  union all select r_name, top, 8, null, case when level = 'item' then c_custkey else 1 end::double from z
+  union all select r_name, top, 10, case when level = 'item' then 'm' else '式' end, null from z
+  union all select r_name, case when level = 'item' then top else top + 1 end, 13, case level when 'fee' then '費目行' when 'work' then '工種行' when 'category' then '種別行' when 'subcategory' then '細別行' when 'specification_group' then '規格行' else case when c_custkey % 2 = 1 then '[CB1]' else '' end end, null from z
+  union all select r_name, top + 1, 4, 'c' || (c_custkey % 5), null from z where level = 'item'
+)
+select r_name as doc_id, row_::int as row, col_::int as col, text, number from w""")
+def workbook_cells_written(spark, sf_dir):
+    """Every cell that the output's main sheet gets: page headers, level rows and items."""
+    found = _blocks(spark, sf_dir).withColumnRenamed("r_name", "doc_id")
+    k = F.col("c_custkey")
+    found = found.withColumns({"quantity": k.cast("double"), "unit": F.lit("m"), "output_item_column": k % 9, "output_code": F.when(k % 2 == 1, "CB1").otherwise(""), "output_condition": F.concat(F.lit("c"), (k % 5).cast("string"))})
+    return layout.cell_writes(found).select("doc_id", "row", "col", "text", "number")
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, (f, _) in _FOUND.items()}
