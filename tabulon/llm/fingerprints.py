@@ -55,15 +55,16 @@ def _edge(p: str, i: Column) -> Column:
     return (inner >= first) | (inner >= last)
 
 
-def sketch(anchors: Column) -> Column:
-    """The short form of a text's anchors: sorted array of the MOST smallest distinct hashes."""
-    return F.slice(F.array_sort(F.array_distinct(anchors["hash"])), 1, MOST)
+def sketch(hashes: Column) -> Column:
+    """The short form of a text's distinct anchor hashes: sorted array of the MOST smallest."""
+    return F.slice(F.sort_array(hashes), 1, MOST)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1 from the anchors of two texts."""
-    common, both = F.size(F.array_intersect(a["hash"], b["hash"])), F.size(F.array_union(a["hash"], b["hash"]))
-    return F.when(both == 0, 1.0).otherwise(common / both.cast("double"))
+    """0 to 1 from the distinct anchor hashes of two texts."""
+    # The number of common hashes is a lambda's argument, so that it is counted once.
+    common, total = F.array(F.size(F.array_intersect(a, b))), F.size(a) + F.size(b)
+    return F.when(total == 0, 1.0).otherwise(F.transform(common, lambda c: c / (total - c).cast("double"))[0])
 
 
 def placed(a: Column, b: Column) -> Column:
@@ -133,8 +134,10 @@ def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     for text, into in (("_text", "own"), ("_next", "other"), ("_edited", "changed")):
         docs = anchors(docs, F.col(text), into)
     own, other, changed = (F.col(c) for c in ("own", "other", "changed"))
+    docs = docs.withColumns({f"d_{c}": F.array_distinct(F.col(c)["hash"]) for c in ("own", "other", "changed")})
+    d_own, d_other, d_changed = (F.col(f"d_{c}") for c in ("own", "other", "changed"))
     return docs.select(
         F.col("_id").alias(id_col), F.col("_n").alias("n_chars"), F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"),
-        written(sketch(own)).alias("fingerprint"), written(sketch(changed)).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, other).alias("near_next"),
+        written(sketch(d_own)).alias("fingerprint"), written(sketch(d_changed)).alias("edited_fingerprint"), likeness(d_own, d_changed).alias("near_edited"), likeness(d_own, d_other).alias("near_next"),
         placed(own, changed).alias("placed_edited"), placed(own, other).alias("placed_next"),
     )
