@@ -8,8 +8,10 @@ where any is, scored with plain double arithmetic and ranked by windows over the
 from __future__ import annotations
 
 import math
+from collections import Counter
 from difflib import SequenceMatcher
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,12 +52,54 @@ def _similar(left: str, right: str) -> float:
     return SequenceMatcher(None, left, right).ratio()
 
 
+class _Names:
+    """Catalog names with postings of their characters, to find the nearest ones without comparing all.
+
+    The n-th occurrence of a character is a posting of its own, so that the postings two names share count the characters they
+    have in common. No matching pairs more than these, so twice their number over both lengths bounds the ratio from above; a name that
+    contains the other shares all its characters and is told apart by that."""
+
+    def __init__(self, names: list[str]) -> None:
+        self.names = names
+        self.lengths = np.array([len(k) for k in names], dtype=np.int64)
+        places: dict[tuple[str, int], list[int]] = {}
+        for i, k in enumerate(names):
+            for x in self.parts(k):
+                places.setdefault(x, []).append(i)
+        self.places = {x: np.array(v, dtype=np.int32) for x, v in places.items()}
+
+    @staticmethod
+    def parts(name: str) -> list[tuple[str, int]]:
+        return [(c, j) for c, n in Counter(name).items() for j in range(n)]
+
+    def near(self, name: str) -> tuple[float, list[tuple[str, float]]]:
+        """The best similarity, and the names close enough to it, as comparing all would find them: names come by falling bound, until no
+        bound reaches the best or what is close to it."""
+        found = [self.places[x] for x in self.parts(name) if x in self.places]
+        if not found:
+            return 0.0, []
+        common = np.bincount(np.concatenate(found), minlength=len(self.names))
+        bound = 2.0 * common / (len(name) + self.lengths)
+        short = np.minimum(len(name), self.lengths)
+        bound[(common == short) & (short >= 3)] = 1.0  # one may contain the other
+        some = np.flatnonzero(common)
+        best, scores = 0.0, []
+        for i in some[np.argsort(-bound[some], kind="stable")]:
+            if bound[i] < min(best, max(NAME_LEAST, best - NAME_BELOW_BEST)):
+                break
+            score = _similar(name, self.names[i])
+            best = max(best, score)
+            if score >= NAME_LEAST:
+                scores.append((self.names[i], score))
+        return best, sorted(x for x in scores if x[1] >= best - NAME_BELOW_BEST)
+
+
 def fuzzy_pool(names: DataFrame, entries: DataFrame) -> DataFrame:
     """(i_item_name, best, near array of (name, score)) of distinct item names: the best similarity to a catalog name, and the names
     close enough to it.
 
     Names meet the catalog's distinct names in blocks of at most BLOCK, each sent to the workers, so that what is broadcast is bounded
-    whatever the catalog's size, and no pair becomes a row."""
+    whatever the catalog's size, and no pair becomes a row; inside a block, bounds leave few names to compare."""
     spark = reachable(names.sparkSession)
     known = entries.select("k_item_name").distinct()
     blocks = max(1, math.ceil(known.count() / BLOCK)) * 2 - 1  # hashed, with room to spare
@@ -67,12 +111,12 @@ def fuzzy_pool(names: DataFrame, entries: DataFrame) -> DataFrame:
         def run(frames, given=given):
             import pandas as pd
 
+            block = _Names(given.value)
             for pdf in frames:
                 rows = []
                 for name in pdf["i_item_name"]:
-                    scores = [(_similar(name, k), k) for k in given.value]
-                    best = max((s for s, _ in scores), default=0.0)
-                    rows.append((name, best, [{"name": k, "score": s} for s, k in scores if s >= max(NAME_LEAST, best - NAME_BELOW_BEST)]))
+                    best, near = block.near(name)
+                    rows.append((name, best, [{"name": k, "score": s} for k, s in near]))
                 yield pd.DataFrame(rows, columns=["i_item_name", "best", "near"])
 
         found = names.select("i_item_name").mapInPandas(run, "i_item_name string, best double, near array<struct<name:string,score:double>>")

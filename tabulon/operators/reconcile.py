@@ -2,20 +2,20 @@
 
 Assignment is greedy in export order: each review row takes the best source row of its name that its queue has not taken yet, or, when all
 are taken, the best of all. Source rows of different names never compete and queues have separate books, so (queue, name) groups
-are independent. Inside a group the score has four values only (specification and unit equal or not), which keeps state small.
+are independent. They come as sorted partitions, one stream for all groups of a task, which holds the source rows of one group at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import reachable
 
-#: Weights of the score.
-NAME, SPECIFICATION, UNIT = 10, 40, 20
 FIELDS = ["status", "queue", "workbook", "row", "name", "specification", "unit", "price", "message"]
 PREFIX = "review_"
 
@@ -49,38 +49,62 @@ def assign(source: DataFrame, reviews: DataFrame) -> DataFrame:
     s = expected(source)
     r = reviews.select(F.col("ord").alias("r_ord"), "queue", T.match_key(T.clean(F.col("name"))).alias("name_key"), T.match_key(T.clean(F.col("specification"))).alias("r_spec"), T.unit_key(T.clean(F.col("unit"))).alias("r_unit"))
     groups = r.select("queue", "name_key").distinct()
-    # One table of both kinds, so that a group comes as one frame; names without a review row don't.
+    # One table of both kinds, sorted so that a group's source rows stand before its review rows; names without a review row don't come.
     left = s.join(groups, "name_key").select("queue", "name_key", F.lit(False).alias("review"), F.col("s_ord").cast("string").alias("ord"), F.col("s_spec").alias("spec"), F.col("s_unit").alias("unit"))
     right = r.select("queue", "name_key", F.lit(True).alias("review"), F.col("r_ord").cast("string").alias("ord"), F.col("r_spec").alias("spec"), F.col("r_unit").alias("unit"))
-    both = left.withColumn("at", F.row_number().over(Window.partitionBy("queue", "name_key").orderBy("ord"))).unionByName(right.withColumn("at", F.row_number().over(Window.partitionBy("queue", "name_key").orderBy("ord"))))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        sources = pdf[~pdf["review"]].sort_values("at")
-        free: dict[tuple[str, str], list[str]] = {}
-        best: dict[tuple[str, str], str] = {}
-        for o, spec, unit in zip(sources["ord"], sources["spec"], sources["unit"]):
-            free.setdefault((spec, unit), []).append(o)
-            best.setdefault((spec, unit), o)
-        place = {o: i for i, o in enumerate(sources["ord"])}
-        heads = {k: 0 for k in free}
-        out = []
-
-        def pick(kinds: dict, spec: str, unit: str):
-            scored = [(-(SPECIFICATION * (k[0] == spec) + UNIT * (k[1] == unit)), place[o], k, o) for k, o in kinds.items()]
-            return min(scored) if scored else None
-
-        for o, spec, unit in zip(*(pdf[pdf["review"]].sort_values("at")[c] for c in ("ord", "spec", "unit"))):
-            open_ = {k: v[heads[k]] for k, v in free.items() if heads[k] < len(v)}
-            got = pick(open_, spec, unit)
-            if got:
-                heads[got[2]] += 1
-            else:
-                got = pick(best, spec, unit)
-            if got:
-                out.append((o, got[3]))
-        return pd.DataFrame(out, columns=["r_ord", "s_ord"])
-
-    return both.groupBy("queue", "name_key").applyInPandas(run, "r_ord string, s_ord string")
+    both = left.unionByName(right).repartition("queue", "name_key").sortWithinPartitions("queue", "name_key", "review", "ord")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, books = None, None
+        for pdf in frames:
+            out = []
+            for queue, name, review, o, spec, unit in zip(*(pdf[c] for c in ("queue", "name_key", "review", "ord", "spec", "unit"))):
+                if (queue, name) != group:
+                    group, books = (queue, name), _Books()
+                if not review:
+                    books.add(o, spec, unit)
+                elif (got := books.take(spec, unit)) is not None:
+                    out.append((o, got))
+            yield pd.DataFrame(out, columns=["r_ord", "s_ord"])
+
+    return both.mapInPandas(run, "r_ord string, s_ord string")
+
+
+class _Books:
+    """Source rows of one queue and name, and which of them are taken.
+
+    The score tells apart only whether the specification (40) and the unit (20) are equal, so the best free row is the first free one of the
+    first of these lists that has any: both equal, specification equal, unit equal, all. Heads of lists only move on, so that a
+    row is taken in constant time, whatever the number of rows or of specifications."""
+
+    def __init__(self) -> None:
+        self.rows: list[str] = []
+        self.free: list[bool] = []
+        self.lists: dict[tuple, list[int]] = {}
+        self.heads: dict[tuple, int] = {}
+
+    @staticmethod
+    def keys(spec: str, unit: str) -> tuple[tuple, ...]:
+        return (spec, unit), (spec, None), (None, unit), (None, None)
+
+    def add(self, row: str, spec: str, unit: str) -> None:
+        for k in self.keys(spec, unit):
+            self.lists.setdefault(k, []).append(len(self.rows))
+        self.rows.append(row)
+        self.free.append(True)
+
+    def take(self, spec: str, unit: str) -> str | None:
+        """The best free row, or the best of all where all are taken; None without any row."""
+        known = [k for k in self.keys(spec, unit) if k in self.lists]
+        for k in known:
+            places, head = self.lists[k], self.heads.get(k, 0)
+            while head < len(places) and not self.free[places[head]]:
+                head += 1
+            self.heads[k] = head
+            if head < len(places):
+                self.free[places[head]] = False
+                return self.rows[places[head]]
+        return self.rows[self.lists[known[0]][0]] if known else None
 
 
 def reconcile(source: DataFrame, reviews: DataFrame) -> DataFrame:

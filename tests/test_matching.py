@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabulon.operators import catalog as C
-from tabulon.operators import classify, layout, matching
+from tabulon.operators import classify, layout, matching, reconcile
 
 ENTRY = "level1 string, level2 string, level3 string, level4 string, level5 string, item_name string, specification string, unit string, code string, source_file string, source_row bigint, item_column bigint, reference_type string, reference_text string, ord bigint"
 
@@ -166,3 +166,34 @@ def test_first_wins(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "o int, k string")
     assert [(r.o, r.k) for r in C.first_wins(df, ["k"], ["o"]).orderBy("o").collect()] == [(1, "a"), (3, "b")]
     assert C.first_wins(df.filter(F.lit(False)), ["k"], ["o"]).count() == 0
+
+
+def test_near_names_against_all_pairs():
+    """Bounds lose no name: long ones with frequent characters, contained ones and ties too."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdeあい") for _ in range(rng.randint(1, 9)))
+    names = sorted({word() for _ in range(400)} | {"abcde" * 50, "a" * 230 + "b" * 30, "ab", ""})
+    known = matching._Names(names)
+    asked = [word() for _ in range(200)] + [k + "a" for k in names[:60]] + [k[1:] for k in names[:60]] + ["abcde" * 49, "a" * 229 + "b" * 33, "", "zzz"]
+    for name in asked:
+        scores = [(k, matching._similar(name, k)) for k in names]
+        best = max(s for _, s in scores)
+        want = [(k, s) for k, s in scores if s >= max(matching.NAME_LEAST, best - matching.NAME_BELOW_BEST)]
+        assert known.near(name) == (best, want)
+
+
+def test_assignment_against_a_loop(spark):
+    """Scores of all kinds, a hot name, blank names and more reviews than sources."""
+    rng = random.Random(12)
+    pick = lambda: (rng.choice(["n", "n", "m", ""]), rng.choice("xyz"), rng.choice(["m2", "t"]))
+    sources, reviews = [(f"{i:04d}", *pick()) for i in range(120)], [(f"{i:04d}", rng.choice(["unit", "work"]), *pick()) for i in range(300)]
+    source = spark.createDataFrame(sources, "ord string, item_name string, specification string, unit string")
+    review = spark.createDataFrame(reviews + [("9999", "unit", "other", "x", "t")], "ord string, queue string, name string, specification string, unit string")
+    taken, want = set(), {}
+    for o, queue, name, spec, unit in reviews:
+        fit = [s for s in sources if s[1] == name]
+        free = [s for s in fit if (queue, s[0]) not in taken] or fit
+        if free:
+            want[o] = min(free, key=lambda s: (-40 * (s[2] == spec) - 20 * (s[3] == unit), s[0]))[0]
+            taken.add((queue, want[o]))
+    assert {r.r_ord: r.s_ord for r in reconcile.assign(source, review).collect()} == want
