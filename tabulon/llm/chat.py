@@ -8,7 +8,7 @@ segments of conversations into whole texts.
 
 System messages are no participants; they stay system segments of every perspective, and a conversation of nothing
 else has no perspective. A null role is the speaker ``unknown``; a null text is empty; a null turn comes first; rows without a conversation id form one conversation. Turns that occur twice follow each other by role and text, and
-repeated rows stay. Other columns are not read.
+repeated rows stay. Marks of headers in texts and names are escaped (``<|`` becomes ``<\\|``), so that no text forges a turn. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -22,15 +22,24 @@ UNKNOWN = "unknown"
 RANGE = 128
 
 
+def _escaped(text: Column) -> Column:
+    """A backslash into each opening mark, and one more where there are some: no text opens a header, and taking one out gives the text back."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")
+
+
 def rendered(speaker: Column, perspective: Column, text: Column) -> tuple[Column, Column]:
-    """(header, whole segment)."""
-    header = F.when(speaker == perspective, "<|assistant|>\n").when(speaker.isin(*SYSTEM), F.concat(F.lit("<|"), speaker, F.lit("|>\n"))).otherwise(F.concat(F.lit("<|user name="), speaker, F.lit("|>\n")))
+    """(header, whole segment); ``text`` is escaped already. In names closing marks are escaped too."""
+    name = F.regexp_replace(_escaped(speaker), r"\|(\\*)>", r"|\\$1>")
+    user = F.concat(F.lit("<|user name="), name, F.lit("|>\n"))
+    system = F.concat(F.lit("<|"), speaker, F.lit("|>\n"))
+    header = F.when(speaker == perspective, "<|assistant|>\n").when(speaker.isin(*SYSTEM), system).otherwise(user)
     return header, F.concat(header, text, F.lit("\n"))
 
 
 def segments(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """(conversation, perspective, turn, speaker, segment, seg_start, seg_end, mask_start, mask_end, trained)."""
-    rows = df.select(F.col(conv_col).alias("_c"), F.col(turn_col).alias("_t"), F.coalesce(F.col(role_col), F.lit(UNKNOWN)).alias("_s"), F.coalesce(F.col(text_col), F.lit("")).alias("_x"))
+    given = {"_c": F.col(conv_col), "_t": F.col(turn_col), "_s": F.coalesce(F.col(role_col), F.lit(UNKNOWN)), "_x": _escaped(F.coalesce(F.col(text_col), F.lit("")))}
+    rows = df.select(*(c.alias(n) for n, c in given.items()))
     people = rows.filter(~F.col("_s").isin(*SYSTEM)).select(F.col("_c").alias("_pc"), F.col("_s").alias("_p")).distinct()
     rows = rows.join(people, rows["_c"].eqNullSafe(people["_pc"])).drop("_pc")
     header, segment = rendered(F.col("_s"), F.col("_p"), F.col("_x"))

@@ -86,16 +86,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_bpe, op2_media, op3_chat, op4_fingerprints, op5_jaccard, op6_toxicity, op7_mixing, op8_sharding, op9_urls, op10_langid)}
 
 
-OP3_SQL = """
+OP3_SQL = r"""
 with m as (
-  select conv_id, turn, coalesce(role, 'unknown') as speaker, coalesce(text, '') as text from conversations
+  select conv_id, turn, coalesce(role, 'unknown') as speaker, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\\\1|', 'g') as text from conversations
 ), p as (
   select distinct conv_id, speaker as perspective from m where speaker <> 'system'
 ), s as (
   select m.conv_id, perspective, turn, speaker, text,
     case when speaker = perspective then '<|assistant|>' || chr(10)
          when speaker = 'system' then '<|system|>' || chr(10)
-         else '<|user name=' || speaker || '|>' || chr(10) end as head
+         else '<|user name=' || regexp_replace(regexp_replace(speaker, '<(\\*)\|', '<\\\1|', 'g'), '\|(\\*)>', '|\\\1>', 'g') || '|>' || chr(10) end as head
   from m join p on m.conv_id is not distinct from p.conv_id
 ), t as (
   select *, head || text || chr(10) as segment,
