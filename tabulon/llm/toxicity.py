@@ -51,6 +51,8 @@ BEGINNINGS = (3, 4, 5, 6, 7)
 SAMPLE, UNLABELLED = 20_000, 10_000
 #: Most mined voters, most features of the classifier, and rows in which a mined voter fires at least.
 VOTERS, FEATURES, SUPPORT = 300, 4000, 3
+#: Rows that training on the driver computes with at once, so that its arrays stay small beside the driver's heap.
+BLOCK = 2000
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -102,15 +104,17 @@ class LabelModel:
         """votes: rows x voters of 0 and 1; start: a first guess of the posterior. Silence of a voter is no
         evidence: most toxic texts hold few of the patterns, so only firing votes count."""
         post, n = start.astype(np.float64), len(votes)
+        fired, both = _dot(votes, np.ones(n)), _together(votes)
         weight = np.ones(votes.shape[1])
         correlations = np.eye(votes.shape[1])
         model = None
         for k in range(rounds):
             one, zero = post.sum(), (1 - post).sum()
-            rates = np.stack([(votes.T @ (1 - post) + 0.1) / (zero + 1.0), (votes.T @ post + 0.1) / (one + 1.0)])
+            fired_one = _dot(votes, post)
+            rates = np.stack([(fired - fired_one + 0.1) / (zero + 1.0), (fired_one + 0.1) / (one + 1.0)])
             rates = np.clip(rates, 1e-5, 1 - 1e-5)
             if k % 5 == 0:
-                correlations = cls._correlations(votes, post, rates)
+                correlations = cls._correlations(both, fired, fired_one, post, rates)
                 weight = 1 / np.where(np.abs(correlations) > threshold, np.abs(correlations), 0).sum(axis=1)
             model = cls(rates, np.array([zero / n, one / n]), correlations, weight)
             new = model.posterior(votes)
@@ -120,10 +124,17 @@ class LabelModel:
         return model
 
     @staticmethod
-    def _correlations(votes: np.ndarray, post: np.ndarray, rates: np.ndarray) -> np.ndarray:
-        """Correlation of the firings that is left when the label is known."""
-        rest = votes - np.outer(1 - post, rates[0]) - np.outer(post, rates[1])
-        cov = rest.T @ rest / len(votes)
+    def _correlations(both: np.ndarray, fired: np.ndarray, fired_one: np.ndarray, post: np.ndarray, rates: np.ndarray) -> np.ndarray:
+        """Correlation of the firings that is left when the label is known: the products of votes - (1 - post) rates[0] - post rates[1],
+        summed over the rows, from the sums of the parts' products."""
+        parts = {0: fired - fired_one, 1: fired_one}
+        sides = {0: 1 - post, 1: post}
+        cov = both.copy()
+        for i in (0, 1):
+            cov -= np.outer(parts[i], rates[i]) + np.outer(rates[i], parts[i])
+            for j in (0, 1):
+                cov += (sides[i] @ sides[j]) * np.outer(rates[i], rates[j])
+        cov /= len(post)
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
         out = cov / np.outer(scale, scale)
         np.fill_diagonal(out, 1.0)
@@ -132,11 +143,26 @@ class LabelModel:
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         silent = 0.5  # the prior of a row without any vote
         odds = np.log(self.rates[1]) - np.log(self.rates[0])
-        z = votes @ (odds * self.weight) + silent * np.log(self.share[1] / self.share[0] + 1e-9)
+        z = np.concatenate([votes[a : a + BLOCK] @ (odds * self.weight) for a in range(0, len(votes), BLOCK)] or [np.zeros(0)])
+        z += silent * np.log(self.share[1] / self.share[0] + 1e-9)
         z = np.where(votes.any(axis=1), z, np.minimum(z, -3.0))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+def _dot(votes: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Sum of ``by`` over the rows in which a voter fires, block by block."""
+    return sum((votes[a : a + BLOCK].T @ by[a : a + BLOCK] for a in range(0, len(votes), BLOCK)), np.zeros(votes.shape[1]))
+
+
+def _together(votes: np.ndarray) -> np.ndarray:
+    """In how many rows two voters fire together, block by block."""
+    out = np.zeros((votes.shape[1], votes.shape[1]))
+    for a in range(0, len(votes), BLOCK):
+        block = votes[a : a + BLOCK].astype(np.float32)
+        out += block.T @ block
+    return out
+
+
 def _odds(pos: float, neg: float, n_pos: float, n_neg: float) -> float:
     return float(np.log((pos + 0.3) / (n_pos + 0.6)) - np.log((neg + 0.3) / (n_neg + 0.6)))
 
@@ -144,14 +170,21 @@ def _odds(pos: float, neg: float, n_pos: float, n_neg: float) -> float:
 def _logistic(index: list[np.ndarray], target: np.ndarray, n: int, centre: np.ndarray, ridge: np.ndarray, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Weights and intercept of a ridge logistic regression on binary features, by gradient steps scaled for each
     feature (AdaGrad); ``ridge`` pulls the weights to ``centre``."""
-    size = np.array([len(x) for x in index])
-    row, col = np.repeat(np.arange(len(index), dtype=np.int32), size), np.concatenate([*index, np.zeros(0, np.int32)])
+    blocks = []
+    for a in range(0, len(index), BLOCK):
+        part = index[a : a + BLOCK]
+        rows = np.repeat(np.arange(len(part), dtype=np.uint16), [len(x) for x in part])
+        blocks.append((a, len(part), rows, np.concatenate(part)))
     w, seen = np.append(centre, 0.0), np.full(n + 1, 1e-8)
     w[n] = np.log((target.sum() + 0.5) / ((1 - target).sum() + 0.5))
     for _ in range(rounds):
-        z = np.bincount(row, weights=w[col], minlength=len(index)) + w[n]
-        g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target
-        step = np.append(np.bincount(col, weights=g[row], minlength=n) + ridge * (w[:n] - centre), g.sum())
+        slope, all_ = ridge * (w[:n] - centre), 0.0
+        for a, size, row, col in blocks:
+            z = np.bincount(row, weights=w[col], minlength=size) + w[n]
+            g = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - target[a : a + size]
+            slope += np.bincount(col, weights=g[row], minlength=n)
+            all_ += g.sum()
+        step = np.append(slope, all_)
         seen += step * step
         w -= 0.3 * step / np.sqrt(seen)
     return w[:n], float(w[n])
@@ -208,7 +241,7 @@ def train(
         import pyarrow as pa
 
         for batch in chunks(batches, "text"):
-            found = [np.array(sorted(place[x] for x in place.keys() & tokens(t)), dtype=np.int32).tobytes() for t in batch.column("text").to_pylist()]
+            found = [np.array(sorted(place[x] for x in place.keys() & tokens(t)), dtype=np.uint16).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), pa.array(found, pa.binary())], names=["id", "y", "found"])
 
     kind = rows.schema["id"].dataType.simpleString()
@@ -218,8 +251,9 @@ def train(
         drop_stored(table)
     y = np.array([r.y for r in got], dtype=np.float64)
     gold = y >= 0
-    found = [np.frombuffer(r.found, dtype=np.int32) for r in got]
-    votes = np.zeros((len(got), len(voters)), dtype=np.float32)
+    found = [np.frombuffer(r.found, dtype=np.uint16) for r in got]
+    del got
+    votes = np.zeros((len(found), len(voters)), dtype=np.uint8)
     for i, f in enumerate(found):
         votes[i, f[f < len(voters)]] = 1
     model = LabelModel.fit(votes, np.where(gold, np.clip(y, 0.05, 0.95), y[gold].mean()))
