@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabulon.llm import bpe, jaccard, langid, mixing, toxicity
-from tabulon.llm.common import WRITTEN, crc_of_id, drop_written, stored, table
+from tabulon.llm.common import WRITTEN, cleaned, crc_of_id, drop_written, stored, table
 from tabulon.llm.queries import TOXIC, vocabulary_path
 
 
@@ -68,4 +68,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         since = len(WRITTEN)
         docs = stored(stage(spark, docs, sf_dir), spark)
         drop_written(spark, since)
+        cleaned(spark)
     return STAGES[-1][1](spark, docs, sf_dir)

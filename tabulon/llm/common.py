@@ -23,6 +23,15 @@ def sent(df: DataFrame, value):
     return reachable(df.sparkSession).sparkContext.broadcast(value)
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Lets the driver delete the shuffle files of plans that nobody holds any more. It does so when its heap is collected, which
+    otherwise happens when memory gets short, however full the executors' disks are by then."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def tidy(run):
     """A task's function that gives memory back when the task ends: workers are used again, and what one stage leaves behind would
     stand beside the next one's. ``run.clear`` (if there is one) empties caches."""

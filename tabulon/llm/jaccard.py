@@ -42,13 +42,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import reachable
-from .common import chunks, sent, stored, tidy
+from .common import chunks, cleaned, sent, stored, tidy
 from .graph import components
 
 #: N-grams and documents (of all together) that one region may hold in a task.
 REGION, MEMBERS = 50_000, 20_000
 #: Pivots drawn in a region that is too large, rounds of that before blocks, and by how much copies may make a region grow in a round.
 PIVOTS, CUTS, GROWTH = 8, 4, 1.5
+#: Regions that a pair of blocks is as large as. Blocks copy a cluster of T n-grams, M of them outside the main group, 4 M T / (TILE * REGION)
+#: times an n-gram, so they are larger than regions (3 MB of n-grams).
+TILE = 8
 #: An n-gram is common if tasks that met it in several different sets did so more than so often; so many are known as such at most.
 OFTEN, COMMON = 1, 1 << 21
 #: N-grams of all documents for each part of the projections' keys.
@@ -458,7 +461,7 @@ def _mains(near: DataFrame) -> DataFrame:
 
 def _blocks(members: DataFrame, sizes: DataFrame) -> DataFrame:
     """Regions in which every document outside the main group meets every other one and every document of the main group."""
-    blocks = lambda c: F.greatest(F.ceil(2 * F.col(c) / REGION), F.lit(1)).cast("int")
+    blocks = lambda c: F.greatest(F.ceil(2 * F.col(c) / (TILE * REGION)), F.lit(1)).cast("int")
     rows = members.join(sizes.select("region", blocks("moving").alias("ours"), blocks("total").alias("all")), "region")
     at = lambda c: F.pmod(F.xxhash64("node"), F.col(c)).cast("int")
     pair = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
@@ -477,6 +480,7 @@ def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "d
     """(a, b): a spanning forest of the groups of linked documents, each set standing for its smallest id."""
     total = info.agg(F.sum("n_shingles")).first()[0] or 0
     clusters = stored(components(candidate_edges(df, n, percent, common_grams(info), 1 + total // PART, text_col)))
+    cleaned(df.sparkSession)
     firsts = info.filter("gram is null and n_shingles > 0 and id is not null").groupBy("set_id", "node").agg(F.min("id").alias("id"))
     chosen = firsts.join(clusters, "node").select("id", "set_id", "node", F.col("label").alias("region"))
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("region", "id", "node", "set_id", "text")
@@ -491,6 +495,7 @@ def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "d
             yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("region", "id", "node")), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["region", "id", "node", "grams"])
 
     active = stored(texts.mapInArrow(tidy(run), "region bigint, id bigint, node bigint, grams array<bigint>")).withColumn("main", F.lit(False))
+    cleaned(df.sparkSession)
     window = F.lit(2 * (100 - percent) / 100 + 1e-9)
     out = []
     for round_ in range(CUTS + 1):
@@ -521,6 +526,7 @@ def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "d
         cut = left.withColumn("slot", F.explode("goes")).select(F.xxhash64("region", "slot", F.lit(round_)).alias("region"), "id", "node", "grams", "main")
         open_ = cut.filter("not main").select("region").distinct()
         active = stored(cut.join(open_, "region", "left_semi"))
+        cleaned(df.sparkSession)
     return functools.reduce(DataFrame.union, out)
 
 
@@ -528,7 +534,9 @@ def groups(df: DataFrame, n: int = 3, percent: int = 90, id_col: str = "doc_id",
     """(id, n_shingles, component_id) of each row: component_id is the smallest id that links reach, itself included."""
     reachable(df.sparkSession)
     info = stored(described(df, n, id_col, text_col))
-    labels = stored(components(stored(links(df, info, n, percent, id_col, text_col))))
+    forest = stored(links(df, info, n, percent, id_col, text_col))
+    cleaned(df.sparkSession)
+    labels = stored(components(forest))
     info = info.filter("gram is null").select("id", "n_shingles", "set_id")
     firsts = info.filter("n_shingles > 0").groupBy("set_id").agg(F.min("id").alias("first"))
     named = firsts.join(labels, firsts["first"] == labels["node"], "left").select("set_id", F.coalesce("label", "first").alias("component"))
