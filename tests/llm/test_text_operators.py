@@ -339,3 +339,16 @@ def test_urls(spark):
     assert {r.verdict for r in urls.judge(df, none, []).collect()} == {"allow"}
     assert urls.judge(df.filter(F.lit(False)), trees, queries.RULES).count() == 0
     assert zlib.crc32(b"1") == df.select(crc_of_id("page_id")).collect()[1][0]
+
+
+def test_classifier_reaches_its_minimum():
+    r = np.random.default_rng(1)
+    x = r.random((5000, 40)) < 0.1
+    target = np.clip(0.2 * r.random(5000) + 0.6 * x[:, 0], 0, 1)
+    rows = [np.flatnonzero(v).astype(np.uint16) for v in x]
+    w, b = toxicity._logistic(rows, target, 40, np.zeros(40), np.full(40, 3.0))
+    rest = 1 / (1 + np.exp(-(x @ w + b))) - target
+    assert np.abs(x.T @ rest + 3 * w).max() < 1e-3 and abs(rest.sum()) < 1e-2
+    turn = r.permutation(5000)  # the order of rows changes sums by rounding only
+    again, _ = toxicity._logistic([rows[i] for i in turn], target[turn], 40, np.zeros(40), np.full(40, 3.0))
+    assert np.abs(w - again).max() < 1e-6
