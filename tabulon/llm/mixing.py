@@ -167,8 +167,8 @@ def mix(df: DataFrame, seed: int = 0, **columns: str) -> DataFrame:
 
 def mixed_documents(df: DataFrame, seed: int = 0) -> DataFrame:
     """The mix as rows of ``df`` (doc_id, text, source, n_chars and any other columns): one row for each pass that takes words of a
-    document. A document taken whole keeps its text; of others, the words taken are joined by spaces. Rows travel in one column, so that
-    no name of theirs meets one used here."""
+    document. A document taken whole keeps its text; of others, the words taken are joined by spaces. What rows hold besides the text
+    travels in one column, so that no name of theirs meets one used here, and the text once, beside it."""
     rows = stored(sized(df))
     sources = stored(targets(rows))
     parts = segments(stored(placed(rows, rows.count(), seed)), sources, seed)
@@ -181,7 +181,8 @@ def mixed_documents(df: DataFrame, seed: int = 0) -> DataFrame:
     each = spans.withColumns(keys).groupBy(*names, "start").agg(F.collect_list(F.struct("pass", "spans", "taken")).alias("passes"))
     turns = each.groupBy(*names).agg(F.array_sort(F.collect_list(F.struct("start", "passes"))).alias("turns"))
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    own = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), F.col("doc_id").alias("id"), "text", "source", words.alias("size")).withColumns(keys)
+    rest = [c for c in df.columns if c not in ("text", "n_chars")]
+    own = df.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col("doc_id").alias("id"), "text", "source", words.alias("size")).withColumns(keys)
     rank = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("text")))
     got = own.withColumn("rank", rank).join(turns.hint("merge"), names).withColumn("turn", F.get("turns", F.col("rank") - 1))
     got = got.withColumn("pass", F.explode("turn.passes")).withColumns({"spans": F.col("pass.spans"), "taken": F.col("pass.taken")})
