@@ -11,7 +11,10 @@ first cut into projections in which pivots do:
    documents hold are left out first; a document whose other n-grams fill too few classes takes part with all its n-grams
    too, so that no link is lost. Inside a task and then over tasks every region ties its documents to its smallest
    one; what hangs together is a cluster, and no link leaves a cluster.
-2. Voronoi regions. Clusters that are too large for a task are cut: pivots are drawn, every document's distance to them is measured,
+2. Rare n-grams. Of two linked documents' n-grams, each in the same order, at least one is common to the first ones of both, as many as may differ and
+   one more. In clusters that are too large for a task the order is by the number of the cluster's documents that hold an n-gram: what
+   only passages, chance or classes without n-grams tied comes apart, and n-grams that no other document holds tie nothing.
+3. Voronoi regions. Clusters that are still too large are cut: pivots are drawn, every document's distance to them is measured,
    and those within the threshold of a pivot are linked to it. Of what is connected in that way the largest group is the
    cluster's main group; a link that still matters has an end outside of it. Each document goes to the region of its nearest pivot, and the
    documents outside the main group also to every region whose pivot is at most 2e farther than their nearest one: by the
@@ -19,7 +22,7 @@ first cut into projections in which pivots do:
    Regions without a document outside the main group hold no link that matters and go. Regions that are still too
    large are cut again. Where copies would outweigh the gain (distances that tell nothing apart) or after CUTS rounds, the documents outside the main
    group are dealt into blocks and meet blocks of all, which is exact too.
-3. Inside a region each document is a pivot once: it is compared with those documents only which are not already
+4. Inside a region each document is a pivot once: it is compared with those documents only which are not already
    connected to it, whose sizes allow a link, and whose distances to earlier pivots differ by no more than e.
 
 Links are a spanning forest of every group (all links' groups, not all links). Words are runs without ASCII white space, A-Z
@@ -38,7 +41,7 @@ from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import reachable
@@ -264,7 +267,24 @@ def _tied(keys: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[first], nodes[first], edges
 
 
-_ROW = np.dtype([("key", "<u8"), ("node", "<i8")])
+#: Rows as they are shuffled: of a key the low 40 bits, as its part holds high ones, and of a node the low 48 (_NODE); what meets by chance
+#: (0.05 pairs expected in a part of 330,000 rows) only makes a cluster larger. Edges are between nodes.
+_ROW = np.dtype([("key", "<u4"), ("key_high", "u1"), ("node", "<u4"), ("node_high", "<u2")])
+_EDGE = np.dtype([("a", "<i8"), ("b", "<i8")])
+_NODE = (1 << 48) - 1
+
+
+def _packed(keys: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    rows = np.empty(len(keys), dtype=_ROW)
+    k, v = np.ascontiguousarray(keys).view(np.uint64), np.ascontiguousarray(nodes).view(np.uint64)
+    low, bits = np.uint64(0xFFFFFFFF), np.uint64(32)
+    rows["key"], rows["key_high"] = k & low, (k >> bits) & np.uint64(0xFF)
+    rows["node"], rows["node_high"] = v & low, (v >> bits) & np.uint64(0xFFFF)
+    return rows
+
+
+def _unpacked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return rows["key"].astype(np.int64) | rows["key_high"].astype(np.int64) << 32, rows["node"].astype(np.int64) | rows["node_high"].astype(np.int64) << 32
 
 
 def _dealt(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -272,9 +292,9 @@ def _dealt(keys: np.ndarray, parts: int) -> np.ndarray:
 
 
 def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, parts: int, text_col: str = "text") -> DataFrame:
-    """(a, b): nodes of different sets that share a region of a projection, tied to the region's smallest node.
+    """(a, b): nodes (their _NODE bits) of different sets that share a region of a projection, tied to the region's smallest node.
 
-    (key, node) pairs are shuffled packed, a row for each task and part of the keys, which takes half the bytes of rows of their own."""
+    (key, node) pairs are shuffled packed, a row for each task and part of the keys, 11 bytes a pair."""
     given = sent(df, common)
 
     def run(batches: Iterator) -> Iterator:
@@ -289,8 +309,11 @@ def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, par
                 # Edges are dealt out by their own hash.
                 part = _dealt(_mix(k.view(np.uint64) + v.view(np.uint64) * _A) if kind else k, parts)
                 order = np.argsort(part, kind="stable")
-                rows = np.empty(len(k), dtype=_ROW)
-                rows["key"], rows["node"] = np.ascontiguousarray(k).view(np.uint64)[order], v[order]
+                if kind:
+                    rows = np.empty(len(k), dtype=_EDGE)
+                    rows["a"], rows["b"] = k[order], v[order]
+                else:
+                    rows = _packed(k[order], v[order])
                 names, first = np.unique(part[order], return_index=True)
                 ends = np.append(first[1:], len(rows))
                 for a in range(0, len(names), 64):
@@ -302,7 +325,7 @@ def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, par
             for grams in ngram_sets(batch.column("text").to_pylist(), n):
                 if not len(grams):
                     continue
-                node = int(np.frombuffer(_set_id(grams)[:8], dtype=np.int64)[0])
+                node = int(np.frombuffer(_set_id(grams)[:8], dtype=np.int64)[0]) & _NODE
                 if node in seen:
                     continue
                 seen.add(node)
@@ -327,11 +350,10 @@ def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, par
         for _, members in groupby(rows(), key=lambda r: r[0]):
             kinds: tuple[list, list] = ([], [])
             for _, kind, packed in members:
-                kinds[kind].append(np.frombuffer(packed, dtype=_ROW))
-            found = [np.stack([x["key"].view(np.int64), x["node"]], axis=1) for x in kinds[1]]
+                kinds[kind].append(np.frombuffer(packed, dtype=_EDGE if kind else _ROW))
+            found = [np.stack([x["a"], x["b"]], axis=1) for x in kinds[1]]
             if kinds[0]:
-                x = np.concatenate(kinds[0])
-                found.append(_tied(x["key"].view(np.int64), x["node"])[2])
+                found.append(_tied(*_unpacked(np.concatenate(kinds[0])))[2])
             edges = np.unique(np.concatenate(found), axis=0)
             if len(edges):
                 yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(edges[:, i])) for i in (0, 1)], names=["a", "b"])
@@ -341,7 +363,7 @@ def candidate_edges(df: DataFrame, n: int, percent: int, common: np.ndarray, par
 
 
 def linked(names: np.ndarray, sets: list[np.ndarray], percent: int, main: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links (name, name) that connect the groups of a region, of which the documents marked in ``main`` are one already; see step 3 above."""
+    """Links (name, name) that connect the groups of a region, of which the documents marked in ``main`` are one already; see step 4 above."""
     count = len(sets)
     order = np.argsort([len(s) for s in sets], kind="stable")
     names, sets = names[order], [sets[i] for i in order]
@@ -476,13 +498,38 @@ def _sizes(members: DataFrame) -> DataFrame:
     return members.groupBy("region").agg(F.sum(size).alias("total"), F.sum(F.when(~F.col("main"), size).otherwise(0)).alias("moving"), F.count("*").alias("members"))
 
 
+def _large(sizes: DataFrame) -> DataFrame:
+    return sizes.filter((F.col("total") > REGION) | (F.col("members") > MEMBERS))
+
+
+def _apart(active: DataFrame, percent: int) -> DataFrame:
+    """``active`` (region, id, node, grams, main) with the regions that are too large cut by rare n-grams, see step 2 above; documents that link with nothing go."""
+    large = stored(_large(_sizes(active)).select("region"))
+    if not large.count():
+        return active
+    some = active.join(large, "region", "left_semi")
+    each = some.select("region", "node", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    met = each.withColumn("seen", F.count("*").over(Window.partitionBy("region", "gram"))).filter("seen > 1")
+    # A document's row can be there twice.
+    met = met.groupBy("region", "node").agg(F.max("n").alias("n"), F.array_sort(F.collect_set(F.struct("seen", "gram"))).alias("met"))
+    first = F.col("n") - F.ceil(F.lit(percent) * F.col("n") / 100).cast("int") + 1 - (F.col("n") - F.size("met"))
+    keys = met.withColumn("first", first).filter("first > 0").select("region", "node", F.explode(F.slice("met", F.lit(1), F.col("first"))).alias("m"))
+    least = F.min("node").over(Window.partitionBy("region", "m.gram"))
+    labels = stored(components(stored(keys.select(least.alias("a"), F.col("node").alias("b")).filter("a <> b").distinct())))
+    cut = stored(some.join(labels, "node").select(F.col("label").alias("region"), "id", "node", "grams", "main"))
+    cleaned(active.sparkSession)
+    return active.join(large, "region", "left_anti").select(*cut.columns).union(cut)
+
+
 def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(a, b): a spanning forest of the groups of linked documents, each set standing for its smallest id."""
     total = info.agg(F.sum("n_shingles")).first()[0] or 0
-    clusters = stored(components(candidate_edges(df, n, percent, common_grams(info), 1 + total // PART, text_col)))
+    edges = stored(candidate_edges(df, n, percent, common_grams(info), 1 + total // PART, text_col))
+    cleaned(df.sparkSession)
+    clusters = stored(components(edges)).withColumnRenamed("node", "short")
     cleaned(df.sparkSession)
     firsts = info.filter("gram is null and n_shingles > 0 and id is not null").groupBy("set_id", "node").agg(F.min("id").alias("id"))
-    chosen = firsts.join(clusters, "node").select("id", "set_id", "node", F.col("label").alias("region"))
+    chosen = firsts.withColumn("short", F.col("node").bitwiseAND(F.lit(_NODE))).join(clusters, "short").select("id", "set_id", "node", F.col("label").alias("region"))
     texts = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("region", "id", "node", "set_id", "text")
 
     def run(batches: Iterator) -> Iterator:
@@ -496,11 +543,12 @@ def links(df: DataFrame, info: DataFrame, n: int, percent: int, id_col: str = "d
 
     active = stored(texts.mapInArrow(tidy(run), "region bigint, id bigint, node bigint, grams array<bigint>")).withColumn("main", F.lit(False))
     cleaned(df.sparkSession)
+    active = _apart(active, percent)
     window = F.lit(2 * (100 - percent) / 100 + 1e-9)
     out = []
     for round_ in range(CUTS + 1):
         sizes = stored(_sizes(active))
-        large = sizes.filter((F.col("total") > REGION) | (F.col("members") > MEMBERS))
+        large = _large(sizes)
         some = large.count()
         out.append(_joined(active.join(large, "region", "left_anti") if some else active, percent))
         if not some:

@@ -84,6 +84,31 @@ def test_large_regions_are_cut(spark, monkeypatch, cuts, growth):
     assert 3 < len({c for _, c in got.values()}) < len(rows)
 
 
+def test_a_common_passage_copies_nothing(spark, monkeypatch):
+    """Documents that share no more than a passage come apart before regions are cut, where copies grow with the square of their number; a
+    row that is there twice changes nothing."""
+    monkeypatch.setattr(jaccard, "REGION", 600)
+    monkeypatch.setattr(jaccard, "MEMBERS", 20)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, passage + [f"w{i}x{j}" for j in range(20)]) for i in range(160)]
+    rows += [(200 + i, [*rows[i][1][:-1], "new"]) for i in range(0, 160, 4)]
+    rows = [(i, " ".join(words)) for i, words in rows]
+    met = []
+    joined = jaccard._joined
+    monkeypatch.setattr(jaccard, "_joined", lambda regions, percent: met.append(regions.count()) or joined(regions, percent))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.groups(spark.createDataFrame(rows + rows[:3], "doc_id bigint, text string"), 3, 80).collect()}
+    assert got == brute(rows, 3, 80) and len({c for _, c in got.values()}) == 160
+    assert sum(met) <= 100
+
+
+def test_shuffled_rows_are_short():
+    rng = np.random.default_rng(3)
+    keys, nodes = (rng.integers(-(2**63), 2**63, 1000) for _ in range(2))
+    rows = jaccard._packed(keys, nodes)
+    k, v = jaccard._unpacked(np.frombuffer(rows.tobytes(), dtype=jaccard._ROW))
+    assert len(rows.tobytes()) == 11_000 and (k == keys & (1 << 40) - 1).all() and (v == nodes & jaccard._NODE).all()
+
+
 def test_main_group_is_the_largest(spark):
     """Bits 0 and 1 meet in a member, bit 2 has more members than either but not than both, and the old main group is bit 8."""
     rows = [(1, 0b01)] * 2 + [(1, 0b10)] * 2 + [(1, 0b11)] + [(1, 0b100)] * 4 + [(1, 0)] * 9 + [(2, 0)] + [(3, 1 << jaccard.PIVOTS)] * 3 + [(3, 1)]
