@@ -17,6 +17,7 @@ Repeated ids follow each other in an order by the text's hash; rows with a null
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,26 +31,56 @@ RUN, QUANTILES = 256, 256
 SMALL = 100_000
 
 
-#: Matches nothing at each unit's start, with the unit as group 1; not between the halves of a code point.
-_STARTS = "(?![\\uDC00-\\uDFFF])(?=((?<!\\S)\\S{1,%d}(?!\\S)|\\S{%d}))" % (UNIT - 1, UNIT)
+#: Matches each unit as group 1, and in all the unit if its run ends with it, else the unit's first character.
+_STARTS = "(?=(\\S{1,%d}+))(?:\\1(?!\\S)|\\S)" % UNIT
 
 
 def _units(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_STARTS), F.lit(1))
 
 
+def _hashes(text: Column) -> Column:
+    return F.transform(_units(text), lambda u: F.xxhash64(u))
+
+
+def _pairs(h: Column) -> Column:
+    return F.zip_with(h, F.slice(h, F.lit(2), F.size(h)), lambda a, b: F.xxhash64(a, b))
+
+
+def _short(h: Column) -> Column:
+    """The hash of the one anchor of a text of fewer than K units."""
+    return F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " "))
+
+
 def anchors(df: DataFrame, text: Column, into: str) -> DataFrame:
     """``df`` with the column ``into``: array of (at, hash) anchors of ``text`` in order."""
     h, p = f"_{into}_h", f"_{into}_p"
-    df = df.withColumn(h, F.transform(_units(text), lambda u: F.xxhash64(u)))
-    df = df.withColumn(p, F.zip_with(F.col(h), F.slice(F.col(h), F.lit(2), F.size(h)), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn(h, _hashes(text))
+    df = df.withColumn(p, _pairs(F.col(h)))
     # From here a k-mer is K - 1 = 3 neighbouring pairs.
     found = F.transform(F.filter(F.sequence(F.lit(1), F.size(h) - 3), lambda i: _edge(p, i)), lambda i: F.struct(i.alias("at"), F.xxhash64(F.get(p, i - 1), F.get(p, i + 1)).alias("hash")))
-    short = F.array(F.struct(F.lit(1).alias("at"), F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")).alias("hash")))
+    short = F.array(F.struct(F.lit(1).alias("at"), _short(F.col(h)).alias("hash")))
     none = F.array().cast("array<struct<at:int,hash:bigint>>")
     return df.withColumn(into, F.when(F.size(h) >= K, found).when(F.size(h) > 0, short).otherwise(none)).drop(h, p)
 
 
+def _met(df: DataFrame, h: str, before: Column, whole: Column, into: str) -> DataFrame:
+    """``df`` with ``into`` and ``<into>_at``, arrays of the anchor hashes of the unit hashes ``h`` and of hashes of these with their places, counted from
+    ``before``. ``whole``: whether ``h`` is a text's beginning, so that few units have one anchor."""
+    p, c = f"_{into}_p", f"_{into}_c"
+    df = df.withColumn(p, _pairs(F.col(h)))
+    first = F.slice(p, F.lit(1), F.greatest(F.size(h) - F.lit(K - 1), F.lit(0)))
+
+    def anchor(x: Column, i: Column) -> Column:
+        inner, last = F.get(p, i + 1), F.get(p, i + 2)
+        return F.when((inner >= x) | (inner >= last), F.xxhash64(x, last))
+
+    few = whole & (F.size(h) < K) & (F.size(h) > 0)
+    df = df.withColumn(c, F.when(few, F.array(_short(F.col(h)))).otherwise(F.transform(first, anchor)))
+    at = F.transform(c, lambda x, i: F.when(x.isNotNull(), F.xxhash64(before + i, x)))
+    return df.withColumns({into: F.array_compact(c), f"{into}_at": F.array_compact(at)}).drop(p, c)
+
+
 def _edge(p: str, i: Column) -> Column:
     first, inner, last = F.get(p, i - 1), F.get(p, i), F.get(p, i + 1)
     return (inner >= first) | (inner >= last)
@@ -62,9 +93,9 @@ def sketch(hashes: Column) -> Column:
 
 def likeness(a: Column, b: Column) -> Column:
     """0 to 1 from the distinct anchor hashes of two texts."""
-    # The number of common hashes is a lambda's argument, so that it is counted once.
-    common, total = F.array(F.size(F.array_intersect(a, b))), F.size(a) + F.size(b)
-    return F.when(total == 0, 1.0).otherwise(F.transform(common, lambda c: c / (total - c).cast("double"))[0])
+    # Without a condition or a lambda the intersection is compiled, and made once.
+    common, none = F.size(F.array_intersect(a, b)), ((F.size(a) + F.size(b)) == 0).cast("int")
+    return (common + none) / (F.size(a) + F.size(b) - common + none).cast("double")
 
 
 def placed(a: Column, b: Column) -> Column:
@@ -75,7 +106,7 @@ def placed(a: Column, b: Column) -> Column:
 
 def written(sketch: Column) -> Column:
     """A sketch as text: 16 hexadecimal digits for each hash."""
-    return F.array_join(F.transform(sketch, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
+    return F.lower(F.array_join(F.transform(sketch, lambda x: F.lpad(F.hex(x), 16, "0")), ""))
 
 
 def ranges(df: DataFrame, id_col: str) -> Column | None:
@@ -94,12 +125,14 @@ def ranges(df: DataFrame, id_col: str) -> Column | None:
     return ((at - 1) * each + F.floor((F.col(id_col) - F.get(whole(edges), at - 1)) / F.get(whole(width), at - 1))).cast("bigint")
 
 
-def with_next(df: DataFrame, id_col: str, payload: list[str]) -> DataFrame:
+def with_next(df: DataFrame, id_col: str, payload: list[str], made: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """``df`` with ``next_<column>`` for each payload column: the row of the next lower id, and for the lowest id
     that of the highest. Ids are dealt into :func:`ranges`; each range's highest row also goes to the range above, so that
     one window inside the ranges is enough. Repeated ids follow each other in an order by the payload's
-    hash; rows with a null id have null neighbours."""
-    plain = df.withColumns({f"next_{c}": F.lit(None).cast(df.schema[c].dataType) for c in payload})
+    hash; rows with a null id have null neighbours. ``made`` adds columns, which the payload may name too, where the rows of a range are together, so that they
+    aren't shuffled."""
+    full = made(df) if made else df
+    plain = full.withColumns({f"next_{c}": F.lit(None).cast(full.schema[c].dataType) for c in payload})
     run = ranges(df, id_col)
     if run is None:
         return plain
@@ -114,30 +147,52 @@ def with_next(df: DataFrame, id_col: str, payload: list[str]) -> DataFrame:
     targets = F.when(F.col("_top").isNull(), F.array(F.struct(F.col("_run").alias("r"), F.lit(False).alias("copy"))))
     goes = F.when(F.col("_above") >= 0, F.col("_above")).otherwise(F.lit(lowest))
     targets = targets.otherwise(F.array(F.struct(F.col("_run").alias("r"), F.lit(False).alias("copy")), F.struct(goes.alias("r"), F.lit(True).alias("copy"))))
-    rows = rows.withColumn("_t", F.explode(targets)).withColumns({"_r": F.col("_t.r"), "_copy": F.col("_t.copy")})
+    rows = rows.withColumn("_t", F.explode(targets)).withColumns({"_r": F.col("_t.r"), "_copy": F.col("_t.copy"), "_o": F.xxhash64(*(c for c in payload if c in df.columns))})
+    if made:
+        rows = made(rows.select(*df.columns, "_r", "_copy", "_o").repartition("_r").sortWithinPartitions("_r", "_copy", F.col(id_col).desc(), "_o"))
     # A copy stands behind all rows of its range.
-    order = Window.partitionBy("_r").orderBy("_copy", F.col(id_col).desc(), F.xxhash64(*payload))
-    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in payload}).filter(~F.col("_copy")).select(*df.columns, *(f"next_{c}" for c in payload))
+    order = Window.partitionBy("_r").orderBy("_copy", F.col(id_col).desc(), "_o")
+    rows = rows.withColumns({f"next_{c}": F.lead(c).over(order) for c in payload}).filter(~F.col("_copy")).select(*full.columns, *(f"next_{c}" for c in payload))
     return rows.unionByName(plain.filter(F.col(id_col).isNull()))
 
 
+def _parts(docs: DataFrame) -> DataFrame:
+    """``docs`` (_text) with the anchors of the text (``own`` distinct, ``own_at`` with places) and what its edit keeps: ``_third``, the characters that go;
+    ``_cut``, what is left of the run that the edit cuts; ``_units``, the number of units before that run, the last ones' hashes in ``_last``, and the
+    numbers of anchors before it in ``own`` and ``own_at``, ``_kept`` and ``_kept_at``."""
+    n = F.length("_text")
+    docs = docs.withColumn("_third", F.floor(n / 3).cast("int")).withColumn("_left", F.substring(F.col("_text"), F.lit(1), n - F.col("_third")))
+    docs = docs.withColumn("_head", F.regexp_extract("_left", "(?s)\\A.*\\s", 0))
+    since = F.length("_head") + 1
+    docs = docs.withColumns({"_cut": F.substring(F.col("_left"), since, n), "_h": _hashes(F.col("_head")), "_tail": _hashes(F.substring(F.col("_text"), since, n))}).drop("_left", "_head")
+    docs = docs.withColumns({"_units": F.size("_h"), "_last": F.slice("_h", F.greatest(F.size("_h") - (K - 2), F.lit(1)), F.lit(K - 1))})
+    docs = _met(docs, "_h", F.lit(0), F.lit(False), "kept").withColumn("_tail", F.concat("_last", "_tail")).drop("_h")
+    docs = _met(docs, "_tail", _before(), F.col("_units") < K, "more").withColumn("kept", F.array_distinct("kept"))
+    docs = docs.withColumns({"own": F.array_distinct(F.concat("kept", "more")), "own_at": F.concat("kept_at", "more_at"), "_kept": F.size("kept"), "_kept_at": F.size("kept_at")})
+    return docs.drop("_tail", "kept", "kept_at", "more", "more_at")
+
+
+def _before() -> Column:
+    """The number of k-mers in the units before the cut run, which the last ones of these are anchors' places counted from."""
+    return F.greatest(F.col("_units") - (K - 1), F.lit(0))
+
+
 def compare(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, placed_edited, placed_next) of each row: the edited text has
     its last third of characters replaced by as many, or all, from the start of the next text in falling order of ids. Only texts are
-    shuffled; anchors are found where they are compared."""
+    shuffled; anchors are found where they are compared, once for each text: the next row takes them over, and so does the edited text for the runs before the edit."""
     docs = df.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    docs = with_next(docs, "_id", ["_text"]).withColumn("_next", F.coalesce("next__text", F.lit(""))).drop("next__text")
-    n = F.length("_text")
-    third = F.floor(n / 3).cast("int")
-    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - third), F.substring(F.col("_next"), F.lit(1), third))
-    docs = docs.withColumns({"_n": n.cast("bigint"), "_edited": edited})
-    for text, into in (("_text", "own"), ("_next", "other"), ("_edited", "changed")):
-        docs = anchors(docs, F.col(text), into)
-    own, other, changed = (F.col(c) for c in ("own", "other", "changed"))
-    docs = docs.withColumns({f"d_{c}": F.array_distinct(F.col(c)["hash"]) for c in ("own", "other", "changed")})
-    d_own, d_other, d_changed = (F.col(f"d_{c}") for c in ("own", "other", "changed"))
+    docs = with_next(docs, "_id", ["_text", "own", "own_at"], _parts)
+    none = F.array().cast("array<bigint>")
+    docs = docs.withColumns({"other": F.coalesce("next_own", none), "other_at": F.coalesce("next_own_at", none), "_piece": F.substring(F.coalesce("next__text", F.lit("")), F.lit(1), F.col("_third"))})
+    docs = docs.drop("next_own", "next_own_at", "next__text").withColumn("_new", F.concat("_last", _hashes(F.concat("_cut", "_piece"))))
+    docs = _met(docs, "_new", _before(), F.col("_units") < K, "more")
+    docs = docs.withColumns({"changed": F.array_distinct(F.concat(F.slice("own", F.lit(1), F.col("_kept")), "more")), "changed_at": F.concat(F.slice("own_at", F.lit(1), F.col("_kept_at")), "more_at")})
+    n, (own, other, changed) = F.length("_text"), (F.col(c) for c in ("own", "other", "changed"))
+    edited = F.concat(F.substring(F.col("_text"), F.lit(1), n - F.col("_third")), F.col("_piece"))
+    same = lambda a, b: F.size(F.array_intersect(a, b))
     return docs.select(
-        F.col("_id").alias(id_col), F.col("_n").alias("n_chars"), F.sha2(F.encode("_edited", "UTF-8"), 256).alias("edited_sha256"),
-        written(sketch(d_own)).alias("fingerprint"), written(sketch(d_changed)).alias("edited_fingerprint"), likeness(d_own, d_changed).alias("near_edited"), likeness(d_own, d_other).alias("near_next"),
-        placed(own, changed).alias("placed_edited"), placed(own, other).alias("placed_next"),
+        F.col("_id").alias(id_col), n.cast("bigint").alias("n_chars"), F.sha2(F.encode(edited, "UTF-8"), 256).alias("edited_sha256"),
+        written(sketch(own)).alias("fingerprint"), written(sketch(changed)).alias("edited_fingerprint"), likeness(own, changed).alias("near_edited"), likeness(own, other).alias("near_next"),
+        same("own_at", "changed_at").alias("placed_edited"), same("own_at", "other_at").alias("placed_next"),
     )

@@ -251,6 +251,25 @@ def test_fingerprints_by_brute_force(spark):
         assert len(r.fingerprint) == 16 * min(fingerprints.MOST, len({k for _, k in own}))
 
 
+def test_anchors_are_taken_over(spark):
+    """A text's anchors are found once and handed to the row before, and the edited text's are those of its parts; equal to those found in whole texts."""
+    rng = np.random.default_rng(4)
+    parts = ["a", "bc", " ", "  ", "\n", "\u3000", "unbelievably", "日本語の文章です", "\U0001f600", "x" * 9, "y" * 40, "z y x "]
+    texts = ["".join(rng.choice(parts, rng.integers(0, 12))) for _ in range(60)] + ["x" * 50, " " * 9, "a b c", "a b c d", "abcdefgh" * 3 + " "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = fingerprints.compare(df)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "lead(own" in plan and "regexp_extract_all(_next" not in plan
+    edited = [t[: len(t) - len(t) // 3] + texts[i - 1][: len(t) // 3] for i, t in enumerate(texts)]
+    whole = spark.createDataFrame([(i, t, edited[i], texts[i - 1]) for i, t in enumerate(texts)], "i bigint, t string, e string, o string")
+    for c in "teo":
+        whole = fingerprints.anchors(whole, F.col(c), f"a_{c}")
+    t, e, o = (F.array_distinct(F.col(f"a_{c}")["hash"]) for c in "teo")
+    want = whole.select("i", *(fingerprints.written(fingerprints.sketch(x)).alias(n) for x, n in ((t, "own"), (e, "changed"))), fingerprints.likeness(t, e), fingerprints.likeness(t, o), fingerprints.placed(F.col("a_t"), F.col("a_e")), fingerprints.placed(F.col("a_t"), F.col("a_o"))).orderBy("i").collect()
+    got = found.select("doc_id", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "placed_edited", "placed_next").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
+
+
 def test_ranges_stay_small_beside_outliers(spark):
     """One far id, or ids in two clouds, leave all ranges but a few as they were."""
     for rows in ([*range(20_000), 10**15], [*range(0, 200_000, 20), *range(10**14, 10**14 + 10_000)]):
