@@ -40,6 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = stored(jaccard.groups(keyed, n=5, percent=80, id_col="key")).select("key", "component_id").distinct()
     named = found.join(keyed.select("doc_id", "key").distinct(), "key")
     firsts = stored(named.groupBy("component_id").agg(F.min(F.struct("doc_id", "key"))["key"].alias("key")).select("key"))
+    cleaned(spark)
     one = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
     kept = keyed.join(firsts, "key", "left_semi").withColumn("one", one).filter("one = 1").select("row.*")
     return kept.unionByName(docs.filter("doc_id is null"))

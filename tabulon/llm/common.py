@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +26,43 @@ def sent(df: DataFrame, value):
 
 def cleaned(spark: SparkSession) -> None:
     """Lets the driver delete the shuffle files of plans that nobody holds any more. It does so when its heap is collected, which
-    otherwise happens when memory gets short, however full the executors' disks are by then."""
+    otherwise happens when memory gets short, however full the executors' disks are by then. What the driver's processes have freed goes
+    back to the system too: their C library keeps it, and it stands beside the heap, which grows with the tasks that Spark has seen."""
     import gc
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _trimmed_jvm(spark)
+    if (libc := _libc()) is not None:
+        libc.malloc_trim(0)
+
+
+def _trimmed_jvm(spark: SparkSession) -> None:
+    """Has the driver's JVM return freed native memory, if it knows how to (OpenJDK 17.0.9 and later, on Linux)."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    kinds = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    try:
+        # By the interface's method: the server's own class isn't open to callers.
+        types = gateway.new_array(jvm.java.lang.Class, len(kinds))
+        for i, kind in enumerate(kinds):
+            types[i] = jvm.java.lang.Class.forName(kind)
+        values = gateway.new_array(jvm.java.lang.Object, len(kinds))
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, values)
+    except Py4JError:  # another JVM
+        pass
+
+
+def _libc():
+    """The C library, if it is one that can return freed memory."""
+    import ctypes
+
+    try:
+        libc = ctypes.CDLL(None)
+        return libc if libc.malloc_trim else None
+    except (OSError, AttributeError):
+        return None
 
 
 def tidy(run):

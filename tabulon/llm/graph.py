@@ -2,14 +2,14 @@
 
 Every round replaces the edges by fewer or flatter ones: first each node's larger neighbours are tied to the smallest
 neighbour, then each node and its smaller neighbours are. Stars remain. Rounds are written to the shared folder, so
-that lineage stays short; nothing but counts reaches the driver."""
+that lineage stays short; nothing but counts reaches the driver, which gives back what a round left in its memory."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import cleaned, drop_stored, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -28,6 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         got = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         drop_stored(flat)
         flat = new
+        cleaned(edges.sparkSession)
         if got == mark:
             break
         mark = got
